@@ -111,17 +111,8 @@ class Words:
         """Hash, index of the first word, and text of each window of k words; with short, a text of 1 to k - 1 words
         is one window."""
         h, counts = self.hashes, self.counts
-        doc = np.repeat(np.arange(len(counts)), np.maximum(counts - k + 1, 0))
-        if len(h) >= k:
-            rolled = h[: len(h) - k + 1].copy()
-            for j in range(1, k):
-                rolled *= U(_WORD_BASE)
-                rolled += h[j : len(h) - k + 1 + j]
-            whole = np.maximum(counts - k + 1, 0)
-            at = np.arange(len(doc)) - np.repeat(np.cumsum(whole) - whole, whole) + np.repeat(self.first[:-1], whole)
-            out = mix(rolled[at] ^ U(k))
-        else:
-            at, out = np.zeros(0, np.int64), np.zeros(0, U)
+        at, doc = starts(self, k)
+        out = rolled(self, k)[at]
         if short and (few := np.flatnonzero((counts > 0) & (counts < k))).size:
             more = np.empty(len(few), U)
             for i, d in enumerate(few):
@@ -141,3 +132,33 @@ def batches(texts: pa.Array, blanks: np.ndarray = BLANKS, limit: int = GROUP_BYT
     data, at = buffers(texts)
     for i, j in groups(at, limit):
         yield i, j, Words(data[at[i] : at[j]], at[i : j + 1] - at[i], blanks)
+
+
+def rolled(words: Words, k: int) -> np.ndarray:
+    """Hash of the k words from each word on, across ends of texts too."""
+    h = words.hashes
+    if len(h) < k:
+        return np.zeros(0, U)
+    out = h[: len(h) - k + 1].copy()
+    for j in range(1, k):
+        out *= U(_WORD_BASE)
+        out += h[j : len(h) - k + 1 + j]
+    return mix(out ^ U(k))
+
+
+def starts(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word, and text, of each window of k words inside one text."""
+    n = np.maximum(words.counts - k + 1, 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(words.first[:-1], n), doc
+
+
+def least(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """For each place, where the leftmost least hash of the width from there on stands."""
+    best, place = hashes[at].copy(), at.copy()
+    for j in range(1, width):
+        here = hashes[at + j]
+        less = here < best
+        best[less] = here[less]
+        place[less] = at[less] + j
+    return place
