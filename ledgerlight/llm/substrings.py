@@ -7,195 +7,221 @@ no second document has are dropped: no full window around them can repeat. Level
 survived, hashed at twice the length (cut to min_words). A repeat longer than min_words is a chain of
 repeated full windows, so higher levels could remove no further word, and the doubling ends there.
 
-Before each shuffle a task settles what it can see itself: of a hash that two of its documents hold, one witness
-goes to the hash's partition and the rest go, already decided, to partitions of their own. So a passage
-that a third of all documents share sends one row a task to its hash, not one a document.
+A level is an exchange of (hash, id) pairs, packed: a task sorts its pairs by hash, cuts them at the borders of the
+hash ranges and sends each range as one compressed blob. Of a hash that several of its documents hold, it sends
+one pair, with the least id, and settles the others itself; so a passage that a third of all documents share
+sends one pair a block of texts to its range, not one a document. What comes back is the set of
+hashes that concern a document, so texts are shuffled once, compressed, for both levels.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import words as W
-from ledgerlight.llm.workspace import written
 
 MIN_WORDS = 13
-#: Window hashes that a task settles together.
-BLOCK = 1 << 20
+#: Window hashes that a task settles together, and bytes of text to a hash range.
+BLOCK, RANGE_BYTES = 1 << 20, 8 << 20
 #: Id that stands for a missing one.
 NO_ID = (1 << 63) - 1
-HITS = "k bigint, id bigint, th bigint, pos int, settled boolean"
+PAIRS = "range int, settled boolean, n int, blob binary"
+FOUND = "id bigint, hash bigint"
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of 64-bit numbers, all highest ones first: small numbers compress to little."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n).T).view("<u8").reshape(n)
+
+
+def _blob(h: np.ndarray, ids: np.ndarray) -> bytes:
+    low = ids.min()
+    return zstandard.compress(np.int64(low).tobytes() + _planes(np.diff(h, prepend=W.U(0))) + _planes((ids - low).view(W.U)), 1)
+
+
+def _unblob(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.decompress(blob)
+    return np.cumsum(_numbers(data[8:], n), dtype=W.U), _numbers(data[8 + 8 * n :], n).view(np.int64) + np.frombuffer(data, np.int64, 1)
+
+
+def _sorted_pairs(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by hash and id, where each hash begins, and the number of its ids."""
+    order = np.lexsort((ids, h))
+    h, ids = h[order], ids[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])]
+    h, ids = h[new], ids[new]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h, ids, first, np.diff(np.r_[first, len(h)])
 
 
 class _Block:
-    """Window hashes of one task, settled and sent on when there are many."""
+    """Pairs of one task, settled and sent on when there are many."""
 
-    def __init__(self, least_stays: bool) -> None:
-        """least_stays: the least id of a repeated hash is not settled, as its window is the first one."""
-        self.least_stays, self.rows, self.size = least_stays, [], 0
+    def __init__(self, ranges: int, *, low_too: bool) -> None:
+        """low_too: the least id of a repeated hash is found as well, not only those above it."""
+        self.ranges, self.low_too, self.rows, self.size = ranges, low_too, [], 0
 
-    def add(self, h: np.ndarray, ids: np.ndarray, th: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, h: np.ndarray, ids: np.ndarray) -> Batches:
         if len(h):
-            self.rows.append((h, ids, th, pos.astype(np.int32)))
+            self.rows.append((h, ids))
             self.size += len(h)
         if self.size >= BLOCK:
             yield from self.flush()
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def _range(self, x: np.ndarray) -> np.ndarray:
+        return (((x >> W.U(32)) * W.U(self.ranges)) >> W.U(32)).astype(np.int64)
+
+    def flush(self) -> Batches:
         if not self.size:
             return
-        h, ids, th, pos = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        h, ids, first, count = _sorted_pairs(*(np.concatenate(x) for x in zip(*self.rows, strict=True)))
         self.rows, self.size = [], 0
-        order = np.lexsort((ids, h))
-        h, ids, th, pos = h[order], ids[order], th[order], pos[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        count = np.diff(np.r_[first, len(h)])
-        low = np.repeat(ids[first], count)
-        many = np.repeat(ids[first] != ids[first + count - 1], count)
-        settled = many & (ids > low) if self.least_stays else many
-        key = h.copy()
-        key[settled] = W.mix(h[settled] ^ W.mix(th[settled].view(W.U) + pos[settled].astype(W.U)))
-        parts = [(key, ids, th, pos, settled)]
-        if not self.least_stays and (w := first[(ids[first] != ids[first + count - 1])]).size:
-            parts.append((h[w], ids[w], th[w], np.full(len(w), -1, np.int32), np.zeros(len(w), bool)))
-        for k, i, t, p, s in parts:
-            for a in range(0, len(k), 1 << 16):
-                z = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(W.as_signed(k[z])), pa.array(i[z]), pa.array(t[z]), pa.array(p[z]), pa.array(s[z])], names=["k", "id", "th", "pos", "settled"])
-
-
-def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        settled = np.repeat(count > 1, count)
+        if not self.low_too:
+            settled[first] = False
+        home = self._range(W.mix(ids[settled].view(W.U)))
+        order = np.argsort(home, kind="stable")
+        out = []
+        for done, a, b, to in ((False, h[first], ids[first], self._range(h[first])), (True, h[settled][order], ids[settled][order], home[order])):
+            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
+            out += [(int(to[i]), done, int(j - i), _blob(a[i:j], b[i:j])) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        names = ["range", "settled", "n", "blob"]
+        for i in range(0, len(out), 1000):
+            some = list(zip(*out[i : i + 1000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, (pa.int32(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names=names)
+
+
+def _meet(low_too: bool) -> Callable[[pa.Table], pa.Table]:
+    """A hash range: for each document, the hashes that a document with another (or only a smaller) id has too."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        here, done = [], []
+        for settled, n, blob in zip(rows["settled"].to_pylist(), rows["n"].to_pylist(), rows["blob"].to_pylist(), strict=True):
+            (done if settled else here).append(_unblob(blob, n))
+        if here:
+            h, ids, first, count = _sorted_pairs(*(np.concatenate(x) for x in zip(*here, strict=True)))
+            hit = np.repeat(count > 1, count)
+            if not low_too:
+                hit[first] = False
+            done.append((h[hit], ids[hit]))
+        h, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(ids, kind="stable")
+        return pa.table({"id": pa.array(ids[order], pa.int64()), "hash": pa.array(W.as_signed(h[order]), pa.int64())})
+
+    return run
+
+
+def _level_one(n: int, ranges: int) -> Callable[[Batches], Batches]:
     half = -(-n // 2)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(least_stays=False)
+    def run(parts: Batches) -> Batches:
+        block = _Block(ranges, low_too=True)
         for b in parts:
-            ids, th = b.column("id").to_numpy(), b.column("th").to_numpy()
+            ids = b.column("id").to_numpy()
             for i, _, words in W.batches(b.column("text")):
                 at, doc = W.starts(words, n)
                 if len(at):
                     h = W.rolled(words, half)
                     place = W.least(h, at, n - half + 1)
                     new = np.r_[True, place[1:] != place[:-1]]
-                    place, doc = place[new], doc[new]
-                    yield from block.add(h[place], ids[doc + i], th[doc + i], place - words.first[doc])
+                    yield from block.add(h[place[new]], ids[doc[new] + i])
         yield from block.flush()
 
     return run
 
 
-def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(parts: Batches) -> Batches:
     """Texts compressed for their way through the shuffle."""
     z = zstandard.ZstdCompressor(level=3)
     for b in parts:
         data, at = W.buffers(b.column("text"))
         packed = pa.array([z.compress(data[at[i] : at[i + 1]]) for i in range(len(at) - 1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), b.column("th"), packed], names=["doc_id", "id", "th", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), packed], names=["doc_id", "id", "packed"])
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray | None]]:
+    """Place, text and found hashes of each row."""
+    un = zstandard.ZstdDecompressor()
+    for i, (z, hits) in enumerate(zip(b.column("packed"), b.column("hits"), strict=True)):
+        yield i, un.decompress(z.as_py()), hits.values.to_numpy().view(W.U) if hits.is_valid else None
 
 
-def _sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def _words(text: bytes) -> W.Words:
+    return W.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
 
 
-def _candidates(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows without a surviving anchor are done; the others get their candidate windows."""
+def _level_two(n: int, ranges: int) -> Callable[[Batches], Batches]:
     half = -(-n // 2)
-    names = ["doc_id", "id", "th", "n_words", "kept_sha256", "packed", "at", "hashes"]
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        un = zstandard.ZstdDecompressor()
+    def run(parts: Batches) -> Batches:
+        block = _Block(ranges, low_too=False)
         for b in parts:
-            n_words, sha, packed, ats, hashes = [], [], [], [], []
-            for z, hit in zip(b.column("packed"), b.column("hits"), strict=True):
-                z = z.as_py()
-                text = un.decompress(z)
-                at = h = np.zeros(0, np.int64)
-                if hit.is_valid:
-                    words = W.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                    count = len(words.hashes)
-                    starts, _ = W.starts(words, n)
-                    mine = np.zeros(count, bool)
-                    mine[hit.values.to_numpy()] = True
-                    at = starts[mine[W.least(W.rolled(words, half), starts, n - half + 1)]]
-                    h = W.rolled(words, n)[at]
-                    done = not len(at)
-                else:
-                    own = text.split()
-                    count, done = len(own), True
-                n_words.append(count)
-                sha.append(_sha(b" ".join(own if not hit.is_valid else text.split())) if done else None)
-                packed.append(None if done else z)
-                ats.append(None if done else at.astype(np.int32).tobytes())
-                hashes.append(None if done else h.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), b.column("th"), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), pa.array(packed, pa.binary()), pa.array(ats, pa.binary()), pa.array(hashes, pa.binary())], names=names)
+            ids = b.column("id").to_numpy()
+            for i, text, hits in _texts(b):
+                words = _words(text)
+                at, _ = W.starts(words, n)
+                if len(at):
+                    h = W.rolled(words, half)
+                    at = at[np.isin(h, hits)[W.least(h, at, n - half + 1)]]
+                    yield from block.add(W.rolled(words, n)[at], np.full(len(at), ids[i]))
+        yield from block.flush()
 
     return run
 
 
-def _repeats(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = _Block(least_stays=True)
-    for b in parts:
-        for i, t, at, h in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("at"), b.column("hashes"), strict=True):
-            pos = np.frombuffer(at.as_py(), np.int32)
-            yield from block.add(np.frombuffer(h.as_py(), W.U), np.full(len(pos), i), np.full(len(pos), t), pos)
-    yield from block.flush()
-
-
-def _kept(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        un = zstandard.ZstdDecompressor()
+def _kept(n: int) -> Callable[[Batches], Batches]:
+    def run(parts: Batches) -> Batches:
         for b in parts:
-            removed, kept = [], []
-            for z, hit, count in zip(b.column("packed"), b.column("hits"), b.column("n_words").to_pylist(), strict=True):
-                gone = np.zeros(count + 1, np.int64)
-                if hit.is_valid:
-                    at = np.unique(hit.values.to_numpy())
+            counts, removed, kept = [], [], []
+            for _, text, hits in _texts(b):
+                own = text.split()
+                gone = np.zeros(len(own) + 1, np.int64)
+                if hits is not None and len(own) >= n:
+                    at = np.flatnonzero(np.isin(W.rolled(_words(text), n), hits))
                     gone[at] += 1
                     gone[at + n] -= 1
-                keep = np.cumsum(gone)[:count] == 0
-                own = un.decompress(z.as_py()).split()
-                removed.append(count - int(keep.sum()))
-                kept.append(b" ".join([w for w, k in zip(own, keep.tolist(), strict=True) if k]).decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                keep = np.cumsum(gone)[:-1] == 0
+                counts.append(len(own))
+                removed.append(len(own) - int(keep.sum()))
+                kept.append(b" ".join(own if keep.all() else [w for w, k in zip(own, keep.tolist(), strict=True) if k]).decode())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _by_document(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("id", "th").agg(F.collect_list("pos").alias("hits"))
+def _found(pairs: DataFrame, *, low_too: bool) -> DataFrame:
+    return pairs.groupBy("range").applyInArrow(_meet(low_too), FOUND).groupBy("id").agg(F.collect_list("hash").alias("hits"))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, text; more columns are left out. Two tables that together have every row of docs once:
-    untouched (doc_id, n_words, n_removed = 0, kept_sha256), and searched (doc_id, n_words, n_removed, kept), in which
-    a repeat was possible. kept: the words kept, joined by one space. Words are runs without ASCII blanks. Null
-    text: no words. A missing doc_id counts as larger than any other, and rows that lack it, or that have the
-    same one, aren't each other's repeats. Repeated rows are rows like any other. Empty table: no rows."""
+def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept for every row of docs (doc_id, text; more columns are left out). kept: the
+    words kept, joined by one space. Words are runs without ASCII blanks. Null text: no words. A missing
+    doc_id counts as larger than any other, and rows that lack it, or that have the same one, aren't each other's
+    repeats. Repeated rows are rows like any other. Empty table: no rows. Windows are told apart by 64-bit hashes."""
     if min_words < 2:
         raise ValueError("min_words must be 2 or more")
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    level1 = base.select("id", "th", "text").mapInArrow(_anchors(min_words), HITS)
-    group = Window.partitionBy("k")
-    alive = level1.withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group)).filter("pos >= 0 AND (settled OR lo < hi)")
-    packed = base.mapInArrow(_packed, "doc_id bigint, id bigint, th bigint, packed binary")
-    found = packed.join(_by_document(alive), ["id", "th"], "left").select("doc_id", "id", "th", "packed", "hits")
-    level2 = written(found.mapInArrow(_candidates(min_words), "doc_id bigint, id bigint, th bigint, n_words bigint, kept_sha256 string, packed binary, at binary, hashes binary"), "substrings")
-    some = level2.filter("at IS NOT NULL")
-    again = some.select("id", "th", "at", "hashes").mapInArrow(_repeats, HITS)
-    repeated = again.withColumn("lo", F.min("id").over(group)).filter("settled OR lo < id")
-    searched = some.join(_by_document(repeated), ["id", "th"], "left").select("doc_id", "packed", "n_words", "hits")
-    searched = searched.mapInArrow(_kept(min_words), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
-    untouched = level2.filter("at IS NULL").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
-    return untouched, searched
+    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    alive = _found(base.select("id", "text").mapInArrow(_level_one(min_words, ranges), PAIRS), low_too=True)
+    packed = base.mapInArrow(_packed, "doc_id bigint, id bigint, packed binary")
+    pairs = packed.join(alive, "id").select("id", "packed", "hits").mapInArrow(_level_two(min_words, ranges), PAIRS)
+    repeated = _found(pairs, low_too=False)
+    return packed.join(repeated, "id", "left").select("doc_id", "packed", "hits").mapInArrow(_kept(min_words), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    untouched, searched = dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return untouched.unionByName(searched.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
+    out = dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
