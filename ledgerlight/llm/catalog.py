@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import mixing, sharding, substrings
+from ledgerlight.llm import minhash, mixing, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": mixing.query,
     "op5_contiguous_sharding": sharding.query,
+    "op6_dart_minhash": minhash.query,
     "op7_substring_dedup": substrings.query,
 }
 
