@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import minhash, mixing, sharding, substrings
+from ledgerlight.llm import decontam, minhash, mixing, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_spaced_seeds": decontam.query,
     "op2_source_mixing": mixing.query,
     "op5_contiguous_sharding": sharding.query,
     "op6_dart_minhash": minhash.query,
