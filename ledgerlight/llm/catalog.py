@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import decontam, langid, minhash, mixing, sharding, substrings
+from ledgerlight.llm import decontam, langid, minhash, mixing, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash": simhash.query,
     "op9_language_bitmask": langid.query,
     "op10_spaced_seeds": decontam.query,
     "op2_source_mixing": mixing.query,
