@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import decontam, langid, minhash, mixing, sharding, simhash, substrings
+from ledgerlight.llm import chat, decontam, langid, minhash, mixing, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_snapshots": chat.query,
     "op4_simhash": simhash.query,
     "op9_language_bitmask": langid.query,
     "op10_spaced_seeds": decontam.query,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_snapshots": chat.SQL,
     "op2_source_mixing": mixing.SQL,
 }
