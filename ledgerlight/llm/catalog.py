@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import chat, decontam, langid, lines, minhash, mixing, sharding, simhash, substrings
+from ledgerlight.llm import chat, decontam, langid, lines, minhash, mixing, sharding, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_lines": lines.query,
     "op1_chat_snapshots": chat.query,
+    "op3_toxicity": toxicity.query,
     "op4_simhash": simhash.query,
     "op9_language_bitmask": langid.query,
     "op10_spaced_seeds": decontam.query,
