@@ -29,6 +29,7 @@ TYPICAL = 0.4
 LEAST_COUNT = 3
 HASHES, SLOTS_PER_GRAM = 3, 12
 FOLDS = 5
+PLACES = 1 << 40
 UNKNOWN = "und"
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -130,8 +131,11 @@ def fit(spark: SparkSession, docs: DataFrame) -> Filters | None:
     if not languages:
         return None
     usual = languages.index(found[0]["lang"])
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.filter(F.col("lang").isin(languages)).select("lang", "doc_id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE)
+    # ids are told apart by a hash; only those low enough to be among a language's first SAMPLE are ranked
+    share = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], min(PLACES, int(PLACES * 1.2 * SAMPLE / r["count"]) + 1))))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    placed = known.filter(F.col("lang").isin(languages)).select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place"))
+    picked = placed.filter(F.col("place") < share[F.col("lang")]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE)
     ids = picked.select("doc_id").distinct()  # LANGUAGES * SAMPLE ids at most
     texts = known.filter(F.col("lang").isin(languages)).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
     each = texts.mapInArrow(_count(languages), "gram bigint, k int, n bigint").groupBy("gram", "k").agg(F.sum("n").alias("n"))

@@ -41,6 +41,7 @@ LEXICON = ("bastard", "clown", "crap", "disgusting", "dumb", "filth", "fool", "g
 FIRES, MISFIRES, TOXIC = 0.2, 0.002, 0.05
 STEPS, GOLD = 6, 4.0
 CACHE = 1 << 20
+PLACES = 1 << 40
 
 _word = re.compile(r"[^\W\d_]+")
 Batches = Iterator[pa.RecordBatch]
@@ -241,6 +242,11 @@ class Classifier:
         self.vocabulary, self.weights = vocabulary, weights
 
 
+def _low(most: int, n: int) -> Column:
+    """Below this place stand about 1.2 times most of n ids, or all if there are not so many."""
+    return F.lit(min(PLACES, int(PLACES * 1.2 * most / max(1, n)) + 1)).cast("bigint")
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Classifier:
     """docs: doc_id, text; labels: doc_id, toxic. Several labels of a document: their majority, toxic on a tie."""
     given = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -248,8 +254,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Classifier:
     learnable = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
     number = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic = number.get(1, 0) / max(1, sum(number.values())) if len(number) == 2 else TOXIC
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = given.withColumn("r", F.row_number().over(order)).filter((F.col("r") <= SAMPLE[0]) & ((F.col("y") == 0) | (F.col("r") <= SAMPLE[1]))).select("doc_id", "y")
+    # ids are told apart by a hash; only those low enough to be among the first SAMPLE are ranked
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    low = F.when(F.col("y") == 1, _low(SAMPLE[1], number.get(1, 0))).otherwise(_low(SAMPLE[0], number.get(0, 0)))
+    order = Window.partitionBy("y").orderBy("place", "doc_id")
+    picked = given.withColumn("place", place).filter(F.col("place") < low).withColumn("r", F.row_number().over(order)).filter((F.col("r") <= SAMPLE[0]) & ((F.col("y") == 0) | (F.col("r") <= SAMPLE[1]))).select("doc_id", "y")
     sample = written(learnable.join(F.broadcast(picked), "doc_id").select("text", "y"), "toxicity-sample")  # SAMPLE rows
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
