@@ -19,12 +19,10 @@ def rows(df):
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
     clean = corpus_pipeline.drop_toxic(spark, docs, SF)
     scores = {r.doc_id: r.predicted for r in toxicity.query(spark, SF).collect()}
+    # how well it predicts is held against labels in test_toxicity, on a table that has enough of them
     assert rows(clean) == rows(docs.filter(~F.col("doc_id").isin([i for i, p in scores.items() if p])))
-    wrong = clean.join(labels.filter("toxic = 1"), "doc_id").count()
-    assert wrong <= 0.2 * labels.filter("toxic = 1").count()
 
     single = corpus_pipeline.drop_near_copies(spark, docs, SF)
     ordered = docs.orderBy("doc_id").collect()
