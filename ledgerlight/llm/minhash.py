@@ -202,7 +202,7 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
 def _meeting(rooted: DataFrame, lead: DataFrame, sketches: DataFrame, least: float, band_rows: int) -> DataFrame:
     """Pairs a, b of a leader and a text of its part, of different components, whose sketches agree in so many
     coordinates; each pair in its first common band only. Parts are dealt out in blocks of bounded size."""
-    size = rooted.join(lead.select("part").distinct(), "part", "left_semi").groupBy("part").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("blocks"))
+    size = rooted.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("blocks")).join(lead.select("part").distinct(), "part", "left_semi")
     columns = ["part", "band", "th", "root", "upper"]
     mine = rooted.join(size, "part").select(*columns, F.pmod(F.xxhash64("th"), "blocks").alias("block"), F.lit(False).alias("leads"))
     theirs = lead.join(size, "part").select(*columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("leads"))
