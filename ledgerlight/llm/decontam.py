@@ -2,8 +2,9 @@
 
 Fixed masks pick some of the words of a span and skip the others, so a changed word inside a passage breaks only
 the masks that look at it. Hashes of the masked words of every benchmark item are held against those of every
-place of every document; around each hit the two texts are aligned and the best stretch, changed words
-allowed, decides. Texts are compared as lower-cased words without ASCII punctuation.
+place of every document; around each hit the two texts are aligned, and the stretch with the most equal words, of
+all with few enough changed words, decides. An item of MIN_WORDS words or fewer is searched for by pieces, one of
+which is whole however the changed words it may have lie. Texts are compared as lower-cased words without ASCII punctuation.
 
 The benchmark goes out in blocks of bounded size: a block is a broadcast of at most BLOCK_BYTES of text, and
 a larger benchmark means more blocks, each held against all documents. No document is shuffled.
@@ -23,7 +24,7 @@ from ledgerlight.llm import words as W
 
 #: Masks of the words that count, 1, and those that don't, 0.
 MASKS = ("11111111", "1101100101011", "110010100110111", "1110100010110011")
-#: A stretch contaminates from so many matching words on (or all words of a shorter item), ...
+#: A stretch contaminates from so many matching words on (or if it covers an item of no more words), ...
 MIN_WORDS = 13
 #: ... with so many changed words for each matching one at most.
 CHANGED = 0.25
@@ -41,12 +42,14 @@ class Probe:
         self.ids = [i for i, _ in items]
         self.item_of = np.repeat(np.arange(len(items)), self.words.counts)
         found = [self._masked(self.words, m) for m in range(len(MASKS))]
-        # an item shorter than a mask is searched for by the hash of all its words
-        self.short = {}
+        # short items: so many pieces, of equal length or nearly, that changed words can't break all
+        pieces: dict[int, list[int]] = {}
         for i, n in enumerate(self.words.counts.tolist()):
-            if 0 < n < len(MASKS[0]):
-                self.short.setdefault(n, []).append(i)
-        short = {n: (W.rolled(self.words, n)[self.words.first[np.array(v)]], self.words.first[np.array(v)]) for n, v in self.short.items()}
+            if 0 < n <= MIN_WORDS:
+                edges = [n * j // (changeable(n) + 1) for j in range(changeable(n) + 2)]
+                for e0, e1 in zip(edges, edges[1:], strict=False):
+                    pieces.setdefault(e1 - e0, []).append(int(self.words.first[i]) + e0)
+        short = {n: (W.rolled(self.words, n)[np.array(v)], np.array(v)) for n, v in pieces.items()}
         self.tables = [self._table(h, p) for h, p in found]
         self.short_tables = {n: self._table(h, p) for n, (h, p) in short.items()}
 
@@ -84,9 +87,24 @@ class Probe:
         out = [self._find(t, *self._masked(words, m)) for m, t in enumerate(self.tables)]
         for n, t in self.short_tables.items():
             at, _ = W.starts(words, n)
-            out.append(self._find(t, W.rolled(words, n)[at], at))
+            out.append(self._whole(words, *self._find(t, W.rolled(words, n)[at], at)))
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
+    def _whole(self, words: W.Words, mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs around which a short item occurs whole, with few enough changed words."""
+        item = self.item_of[theirs]
+        n, a0 = self.words.counts[item], self.words.first[item]
+        d0 = mine - (theirs - a0)
+        doc = np.searchsorted(words.first, mine, "right") - 1
+        inside = (d0 >= words.first[doc]) & (d0 + n <= words.first[doc + 1])
+        mine, theirs, n, a0, d0 = mine[inside], theirs[inside], n[inside], a0[inside], d0[inside]
+        changed = np.zeros(len(mine), np.int64)
+        for j in range(MIN_WORDS):
+            has = np.flatnonzero(n > j)
+            changed[has] += words.hashes[d0[has] + j] != self.words.hashes[a0[has] + j]
+        good = changed <= CHANGED * (n - changed)
+        return mine[good], theirs[good]
+
     def matches(self, words: W.Words) -> Iterator[tuple[int, int, int, int, int]]:
         """Text, item, first word of the stretch in the text, its length, and how many of its words are equal."""
         mine, theirs = self.hits(words)
@@ -98,18 +116,33 @@ class Probe:
             a0, a1 = self.words.first[i], self.words.first[i + 1]
             lo, hi = max(words.first[d], a0 + diagonal), min(words.first[d + 1], a1 + diagonal)
             same = words.hashes[lo:hi] == self.words.hashes[lo - diagonal : hi - diagonal]
-            begin, end, equal = stretch(same)
-            if equal >= min(MIN_WORDS, a1 - a0):
+            if a1 - a0 <= MIN_WORDS:
+                begin, end, equal = 0, len(same), int(same.sum())
+                good = end == a1 - a0 and end - equal <= CHANGED * equal
+            else:
+                begin, end, equal = stretch(same)
+                good = equal >= MIN_WORDS
+            if good:
                 yield d, self.ids[i], int(lo + begin - words.first[d]), end - begin, equal
 
 
+def changeable(n: int) -> int:
+    """How many of n words may be changed."""
+    return int(CHANGED * n / (1 + CHANGED) + 1e-9)
+
+
 def stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """The run with the best sum of 1 for an equal word and -1/CHANGED for a changed one: begin, end, equal words."""
+    """The run with the most equal words of all with CHANGED changed words for each equal one at most, that is, whose sum of 1
+    for an equal word and -1/CHANGED for a changed one isn't negative: begin, end, equal words. For each end, the
+    earliest begin with such a sum has the most."""
     upto = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -1.0 / CHANGED))])
-    gain = upto - np.minimum.accumulate(upto)
-    end = int(np.argmax(gain))
-    begin = int(np.argmin(upto[: end + 1]))
-    return begin, end, int(same[begin:end].sum())
+    count = np.concatenate([[0], np.cumsum(same)])
+    begins = np.searchsorted(-np.minimum.accumulate(upto), -upto, "left")
+    end = int(np.argmax(count - count[begins]))
+    begin = int(begins[end])
+    while begin < end and not same[begin]:
+        begin += 1
+    return begin, end, int(count[end] - count[begin])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -152,7 +185,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
     """The rows of docs with spans, a list of (item_id, first_word, n_words, n_equal) of the stretches that overlap a
     benchmark item (item_id, text); empty for a clean text. Other columns of docs are kept; one named spans is
     replaced. Null and empty texts are clean, null and wordless items match nothing, repeated rows are judged
-    alike, an item of under MIN_WORDS words must occur whole. Empty tables: no rows, or all clean."""
+    alike, an item of MIN_WORDS words or fewer must occur whole, but for its changed words. Empty tables: no rows, or all clean."""
     names = [c for c in docs.columns if c not in ("text", "spans")]
     out = docs.select(*names, "text", F.lit(None).cast(SPANS).alias("spans"))
     found = False

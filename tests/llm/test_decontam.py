@@ -84,3 +84,38 @@ def test_documents(spark):
     for d in docs:
         exact = {i.item_id for i in items if " ".join(words(i.text)) in " ".join(words(d.text))}
         assert exact <= set(got[d.doc_id])
+
+
+def any_stretch(same):
+    """Most equal words of all stretches with at most one changed word to four equal ones, one by one."""
+    return max((e for b in range(len(same)) for c in range(b + 1, len(same) + 1) if 4 * (c - b - (e := sum(same[b:c]))) <= e), default=0)
+
+
+def test_stretch_is_best_of_all():
+    rnd = random.Random(5)
+    for _ in range(400):
+        same = np.array([rnd.random() < rnd.choice([0.5, 0.8, 0.9]) for _ in range(rnd.randrange(0, 40))], bool)
+        begin, end, equal = decontam.stretch(same)
+        assert equal == any_stretch(same.tolist()) == same[begin:end].sum() and 4 * (end - begin - equal) <= equal
+
+
+def test_changed_words(spark):
+    """Each item once, with words changed: every one of 14, as many as a short item may have, one more, and random ones."""
+    rnd, vocab = vocabulary()
+    plan = [(14, [k]) for k in range(14)]
+    plan += [(n, rnd.sample(range(n), c)) for n in range(1, 14) for c in (0, n // 5, n // 5 + 1) for _ in range(5)]
+    plan += [(n, rnd.sample(range(n), c)) for n, c in ((15, 1), (20, 3), (30, 6), (40, 8)) for _ in range(40)]
+    items, rows, want = [], [], set()
+    for k, (n, places) in enumerate(plan):
+        w = [f"{rnd.choice(vocab)}{k}" for _ in range(n)]
+        items.append((k, " ".join(w)))
+        same = [j not in places for j in range(n)]
+        body = [x if s else "changed" for x, s in zip(w, same, strict=True)]
+        rows.append((k, " ".join([*rnd.choices(vocab, k=20), *body, *rnd.choices(vocab, k=20)]), "en", "s", 0))
+        if 4 * len(places) <= sum(same) if n <= 13 else any_stretch(same) >= 13:
+            want.add(k)
+    out = decontam.overlaps(spark, frame(spark, rows), spark.createDataFrame(items, ITEMS)).collect()
+    got = {r.doc_id for r in out if r.spans}
+    exact = {k for k, (n, _) in enumerate(plan) if n <= 14}
+    assert got <= want and got & exact == want & exact
+    assert len(got) >= 0.99 * len(want)
