@@ -2,7 +2,7 @@
 
 Each language has a Bloom filter of the n-grams that are typical of it. All filters share their hash functions
 and lie side by side: slot i of one array holds bit i of every language's filter, so the AND of an n-gram's
-slots is the bitmask of all languages that hold it. A text's n-grams are counted for each language, the counts
+slots is the bitmask of all languages that hold it; a slot has as many words of 64 bits as the languages need. A text's n-grams are counted for each language, the counts
 are corrected for what a filter passes by chance, and the largest share decides.
 
 The filters are fitted on a bounded, hash-chosen sample (SAMPLE texts a language), so that they are of
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ledgerlight.llm import words as W
 
 NGRAM = 4
-#: Documented bounds: languages, texts a language in the fit, n-grams over all filters.
-LANGUAGES, SAMPLE, GRAMS = 62, 3000, 400_000
+#: Documented bounds: texts a language in the fit, n-grams over all filters. Languages are not bounded.
+SAMPLE, GRAMS = 3000, 400_000
 #: An n-gram is typical of a language in which it has at least this part of its highest frequency.
 TYPICAL = 0.4
 LEAST_COUNT = 3
@@ -64,11 +64,12 @@ def grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 def _count(languages: list[str]):
     """n-gram counts of each language in a task's texts."""
+    place = {x: k for k, x in enumerate(languages)}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [np.zeros(0, W.U)] * len(languages), [np.zeros(0, np.int64)] * len(languages)
         for b in parts:
-            lang = np.array([languages.index(x) for x in b.column("lang").to_pylist()])
+            lang = np.array([place[x] for x in b.column("lang").to_pylist()])
             for i, j, x, first in grams(b.column("text")):
                 which = np.repeat(lang[i:j], np.diff(first))
                 mine = x[first[0] :]
@@ -86,16 +87,23 @@ def _count(languages: list[str]):
 
 
 class Filters:
-    """The bit-sliced filters of some languages."""
+    """The bit-sliced filters of some languages. masks: of shape n-grams x words of 64 languages each, or n-grams if one
+    word is enough."""
 
     def __init__(self, languages: list[str], grams: np.ndarray, masks: np.ndarray, usual: int) -> None:
         self.languages, self.usual = languages, usual
         bits = max(10, int(np.ceil(np.log2(max(1, SLOTS_PER_GRAM * len(grams) / max(1, min(len(languages), 8)))))))
         self.low = W.U((1 << bits) - 1)
-        self.slots = np.zeros(1 << bits, W.U)
+        self.slots = np.zeros((1 << bits, *masks.shape[1:]), W.U)
         for at in self._places(grams):
             np.bitwise_or.at(self.slots, at, masks)
-        self.chance = np.array([(((self.slots >> W.U(k)) & W.U(1)).mean()) ** HASHES for k in range(len(languages))])
+        self.chance = np.array([self._bits(self.slots, k).mean() ** HASHES for k in range(len(languages))])
+
+    @staticmethod
+    def _bits(masks: np.ndarray, k: int) -> np.ndarray:
+        """The bit of language k."""
+        word = masks if masks.ndim == 1 else masks[:, k // 64]
+        return (word >> W.U(k % 64)) & W.U(1)
 
     def _places(self, x: np.ndarray) -> list[np.ndarray]:
         return [((x >> W.U(21 * k)) & self.low).astype(np.int64) if k < 2 else (W.mix(x) & self.low).astype(np.int64) for k in range(HASHES)]
@@ -112,7 +120,7 @@ class Filters:
         known = np.diff(np.r_[0, np.cumsum(x != 0)][first]).astype(float)
         found = np.empty((len(first) - 1, len(self.languages)))
         for k in range(len(self.languages)):
-            upto = np.concatenate([[0], np.cumsum((mask >> W.U(k)) & W.U(1))]).astype(float)
+            upto = np.concatenate([[0], np.cumsum(self._bits(mask, k))]).astype(float)
             found[:, k] = np.diff(upto[first])
         fixed = np.maximum(0, (found - known[:, None] * self.chance) / (1 - self.chance))
         total = fixed.sum(1)
@@ -126,7 +134,7 @@ def fit(spark: SparkSession, docs: DataFrame) -> Filters | None:
     """Filters from docs (doc_id, text, lang): rows that aren't held out, with text, lang and doc_id. None if
     there are none."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return None
@@ -134,20 +142,22 @@ def fit(spark: SparkSession, docs: DataFrame) -> Filters | None:
     # ids are told apart by a hash; only those low enough to be among a language's first SAMPLE are ranked
     share = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], min(PLACES, int(PLACES * 1.2 * SAMPLE / r["count"]) + 1))))
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    placed = known.filter(F.col("lang").isin(languages)).select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place"))
+    placed = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place"))
     picked = placed.filter(F.col("place") < share[F.col("lang")]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE)
-    ids = picked.select("doc_id").distinct()  # LANGUAGES * SAMPLE ids at most
-    texts = known.filter(F.col("lang").isin(languages)).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    ids = picked.select("doc_id").distinct()  # SAMPLE ids a language at most
+    texts = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
     each = texts.mapInArrow(_count(languages), "gram bigint, k int, n bigint").groupBy("gram", "k").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("k").orderBy(F.desc("n"), "gram")
-    each = each.filter(F.col("n") >= LEAST_COUNT).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= GRAMS // len(languages)).select("gram", "k", "n")
+    each = each.filter(F.col("n") >= LEAST_COUNT).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(1, GRAMS // len(languages))).select("gram", "k", "n")
     rows = each.toPandas()  # GRAMS at most
     gram, at = np.unique(rows["gram"].to_numpy(np.int64), return_inverse=True)
-    n = np.zeros((len(gram), len(languages)))
-    n[at, rows["k"].to_numpy()] = rows["n"].to_numpy()
-    part = n / np.maximum(1, n.sum(0))
-    typical = (n > 0) & (part >= TYPICAL * part.max(1, keepdims=True))
-    masks = (typical.astype(W.U) << np.arange(len(languages), dtype=W.U)).sum(1, dtype=W.U)
+    k, n = rows["k"].to_numpy(), rows["n"].to_numpy().astype(float)
+    part = n / np.maximum(1, np.bincount(k, n, len(languages)))[k]
+    most = np.zeros(len(gram))
+    np.maximum.at(most, at, part)
+    typical = part >= TYPICAL * most[at]
+    masks = np.zeros((len(gram), -(-len(languages) // 64)), W.U)
+    np.bitwise_or.at(masks, (at[typical], k[typical] // 64), W.U(1) << (k[typical] % 64).astype(W.U))
     return Filters(languages, gram.view(W.U), masks, usual)
 
 

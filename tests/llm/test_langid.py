@@ -49,3 +49,27 @@ def test_grams_stay_inside_texts():
         for d in range(i, j):
             seen[d] = [v for v in x[first[d - i] : first[d - i + 1]].tolist() if v]
     assert seen[0] == seen[3] and not seen[1] and not seen[2] and len(seen[0]) == 3 + 2 and len(seen[4]) == 6
+
+
+def test_more_languages_than_bits(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(130):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rng.choice(words, 15)), f"l{k:03}", "a", 0) for i in range(12 if k < 70 else 11)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark, frame(spark, rows)).collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
+
+
+def test_filters_of_several_words():
+    rng = np.random.default_rng(2)
+    grams = rng.integers(1, 1 << 63, 5000).astype(np.uint64)
+    k = rng.integers(0, 150, 5000)
+    masks = np.zeros((5000, 3), np.uint64)
+    masks[np.arange(5000), k // 64] = np.uint64(1) << (k % 64).astype(np.uint64)
+    f = langid.Filters([str(i) for i in range(150)], grams, masks, 0)
+    assert ((f.holding(grams) & masks) == masks).all()
+    mine = [149, 64, 63, 0]
+    x = np.concatenate([grams[k == m] for m in mine])
+    first = np.cumsum([0, *(int((k == m).sum()) for m in mine)])
+    assert f.shares(x, first).argmax(1).tolist() == mine
