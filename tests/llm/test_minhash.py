@@ -1,8 +1,10 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from cases import frame, odd_docs
 from pyspark.sql import functions as F
 
@@ -117,3 +119,16 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert set(got.values()) == {0, 1000, 6000} and got[200] == 0 and got[6001] == 6000 and 5000 not in got
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_sketches_lose_less_than_bands():
+    """At the least similarity, by the binomial distribution; and a pair that agrees in 0.72 of the coordinates is met."""
+    n, s = minhash.BANDS * minhash.BAND_ROWS, minhash.SIMILARITY
+    least = math.ceil((s - minhash.MARGIN) * n - 1e-9)
+    lost = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(least))
+    assert lost < (1 - s**minhash.BAND_ROWS) ** minhash.BANDS / 5
+    a = np.arange(n, dtype="<u2")
+    b = np.where(np.arange(n) < 0.72 * n, a, a + 1).astype("<u2")
+    cols = {"part": [1, 1], "block": [0, 0], "leads": [True, False], "th": [5, 6], "root": [5, 6], "upper": [True, True], "band": [0, 0]}
+    rows = pa.table(cols | {"sketch": pa.array([a.tobytes(), b.tobytes()])})
+    assert minhash._likely(s - minhash.MARGIN, minhash.BAND_ROWS)(rows).to_pylist() == [{"a": 5, "b": 6}]
