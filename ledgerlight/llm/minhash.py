@@ -6,12 +6,11 @@ same for every document; each dart belongs to one coordinate, and a coordinate k
 documents keep the same dart with the probability of their weighted Jaccard similarity. A document of weight N is
 watched until time K (ln K + SLACK) / N, so a signature takes about K ln K darts however long the text is.
 
-Bands of the signature find candidates; whole shingle sets decide. A band's bucket is split by weight, as similar
-texts have similar weights. In each part every text is held against the least one.
-Then, round by round, components of the links so far are formed; in a part that holds several, texts outside its
-largest one become leaders, some each round, and are held against the part's texts of other components. In
-the end no two texts of different classes share a part unseen, yet a group of mutual near copies, which the
-first round mostly connects, is never spelled out in pairs.
+Bands of the signature find candidates; whole shingle sets decide. Texts that share a bucket, and so on through
+others, are one group: the connected components of the buckets. All links lie inside the groups, so a group is settled
+where it stands: one task holds its sketches and compressed texts, goes through it from the most central text on, and
+verifies pairs of likely sketches that are not connected yet, the likeliest first. A group of mutual near copies
+takes one verification a text and no pair leaves the task. A group over GROUP_TEXTS or GROUP_BYTES is not given to one task: see wide().
 Copies of one text are one node throughout. Classes are connected components of the links.
 """
 
@@ -35,11 +34,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: a third of their shingles meet in a band with probability 0.006.
 BANDS, BAND_ROWS = 40, 8
 SLACK = 5.0
-#: Leaders that a part gets in a round, and texts of a part that are held against them together.
+#: The most that one task settles: texts of a group, and their bytes.
+GROUP_TEXTS, GROUP_BYTES = 8192, 48 << 20
+#: In a wider group: leaders that a part gets in a round, and texts of a part that are held against them together.
 LEADERS, PART_ROWS = 64, 4096
-#: Of texts that a leader meets, those are verified whose sketches (16 bits of each of 320 coordinates) agree in
-#: similarity - MARGIN of the coordinates. At similarity 0.8 that is 4 standard deviations below: fewer are missed by
-#: one leader than share no band.
+#: Pairs are verified whose sketches (8 bits of each of 320 coordinates) agree in similarity - MARGIN of the coordinates. At
+#: similarity 0.8 that is 4 standard deviations below: fewer are missed by that than share no band.
 MARGIN = 0.09
 _SLAB, _ARRIVAL, _DART = W.U(0xA0761D6478BD642F), W.U(0xE7037ED1A0B428DB), W.U(0x8EBC6AF09C88C6E3)
 
@@ -114,7 +114,7 @@ def _sign(bands: int, rows: int):
                 out = W.mix(out + np.arange(1, bands + 1, dtype=W.U) * _SLAB)
                 keys += [r if w else None for r, w in zip(W.as_signed(out), weight, strict=True)]
                 weights += weight.tolist()
-                sketches += [r.tobytes() for r in (sig & W.U(0xFFFF)).astype("<u2")]
+                sketches += [r.tobytes() for r in (sig & W.U(0xFF)).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(weights, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "th", "weight", "bands", "sketch"])
 
     return run
@@ -124,7 +124,7 @@ def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for b in parts:
         data, at = W.buffers(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("th"), pa.array([z.compress(data[at[i] : at[i + 1]]) for i in range(len(at) - 1)], pa.binary())], names=["th", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(np.diff(at)), pa.array([z.compress(data[at[i] : at[i + 1]]) for i in range(len(at) - 1)], pa.binary())], names=["th", "size", "packed"])
 
 
 def _slabs(packed: bytes) -> np.ndarray:
@@ -132,6 +132,12 @@ def _slabs(packed: bytes) -> np.ndarray:
     return np.sort(weighted(W.Words(text, np.array([0, len(text)])))[0])
 
 
+def _similarity(mine: np.ndarray, other: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sorted lists of unit slabs."""
+    both = len(np.intersect1d(mine, other, assume_unique=True))
+    return both / max(1, len(mine) + len(other) - both)
+
+
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, mine = None, None
     for b in parts:
@@ -139,9 +145,7 @@ def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, pa_, pb_ in zip(b.column("a").to_pylist(), b.column("packed_a"), b.column("packed_b"), strict=True):
             if a != last:
                 last, mine = a, _slabs(pa_.as_py())
-            other = _slabs(pb_.as_py())
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            sims.append(both / max(1, len(mine) + len(other) - both))
+            sims.append(_similarity(mine, _slabs(pb_.as_py())))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
 
@@ -153,50 +157,129 @@ def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a bigint, b bigint, sim double")
 
 
+def _resolve(least: float, similarity: float):
+    """Rows th, sketch, packed in the order of their groups: th and the least th of its class, group by group."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in parts:
+            group = b.column("group").to_numpy()
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if held and held[0].column("group")[0].as_py() != group[i]:
+                    yield _settled(held, least, similarity)
+                    held = []
+                held.append(b.slice(i, j - i))
+        if held:
+            yield _settled(held, least, similarity)
+
+    return run
+
+
+def _settled(rows: list[pa.RecordBatch], least: float, similarity: float) -> pa.RecordBatch:
+    """The classes of one group. label: of each text, the class so far."""
+    th = np.concatenate([b.column("th").to_numpy() for b in rows])
+    sketch = np.stack([np.frombuffer(x.as_py(), np.uint8) for b in rows for x in b.column("sketch")])
+    packed = [x for b in rows for x in b.column("packed")]
+    n, k = sketch.shape
+    shared = np.zeros(n, np.int64)
+    for c in range(k if n > 2 else 0):  # a text that agrees with many is central
+        shared += np.bincount(sketch[:, c], minlength=256)[sketch[:, c]]
+    order = np.lexsort((th, -shared))
+    th, sketch, packed = th[order], sketch[order], [packed[i] for i in order]
+    slabs: list[np.ndarray | None] = [None] * n
+
+    def of(i: int) -> np.ndarray:
+        if slabs[i] is None:
+            slabs[i] = _slabs(packed[i].as_py())
+        return slabs[i]
+
+    label = np.arange(n)
+    for i in range(n - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        agree = (sketch[rest] == sketch[i]).sum(1)
+        likely = agree >= least * k
+        for j in rest[likely][np.argsort(-agree[likely], kind="stable")].tolist():
+            if label[j] != label[i] and _similarity(of(i), of(j)) >= similarity:
+                label[label == label[j]] = label[i]
+        slabs[i] = None  # no later text is held against this one
+    root = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(root, label, th)
+    return pa.RecordBatch.from_arrays([pa.array(th), pa.array(root[label])], names=["th", "root"])
+
+
+def roots(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th (hash of the text) of every row of docs (doc_id, text), and th, root of the texts that share a bucket with
+    another: root is the least th of the class."""
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    signed = written(base.mapInArrow(_sign(bands, rows), "doc_id bigint, th bigint, weight bigint, bands array<bigint>, sketch binary"), "minhash-signed")
+    members = signed.select(F.posexplode("bands").alias("band", "bucket"), "th", "weight")
+    ends = members.groupBy("bucket").agg(F.min("th").alias("c"), F.max("th").alias("top")).filter("c < top").select("bucket", "c")
+    grouped = components(members.join(ends, "bucket").filter("th <> c").select(F.col("th").alias("a"), F.col("c").alias("b")), "minhash-groups")
+    grouped = grouped.select(F.col("node").alias("th"), F.col("root").alias("group"))
+    sketches = signed.groupBy("th").agg(F.first("sketch").alias("sketch"))
+    texts = base.select("th", "text").mapInArrow(_pack, "th bigint, size bigint, packed binary").join(grouped, "th", "left_semi").groupBy("th").agg(F.first("size").alias("size"), F.first("packed").alias("packed"))
+    held = written(grouped.join(sketches, "th").join(texts, "th"), "minhash-held")
+    over = held.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).filter((F.col("n") > GROUP_TEXTS) | (F.col("bytes") > GROUP_BYTES)).select("group")
+    over = written(over, "minhash-over")
+    wider = not over.isEmpty()
+    small = held.join(over, "group", "left_anti") if wider else held
+    settled = small.select("group", "th", "sketch", "packed").repartition("group").sortWithinPartitions("group", "th")
+    found = settled.mapInArrow(_resolve(similarity - MARGIN, similarity), "th bigint, root bigint")
+    if wider:
+        wide_ = held.join(over, "group", "left_semi").select("th", "sketch", "packed")
+        found = found.unionByName(wide(spark, members.join(wide_.select("th"), "th", "left_semi"), wide_, similarity, rows))
+    return signed.select("doc_id", "th"), found
+
+
 def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, th (hash of the text), class_root (least th of the class), class_id, class_size for every row of docs
     (doc_id, text; more columns are left out). class_id: the least doc_id of the class; null if no row of it has one. Equal texts, null and empty
     ones among them (null counts as empty), are one class; a text without words is like no other text. Texts
-    under five words have one shingle, all their words. Repeated rows are rows like any other. Empty table:
-    no rows. Two texts of the same 64-bit hash would be taken for equal."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    signed = written(base.mapInArrow(_sign(bands, rows), "doc_id bigint, th bigint, weight bigint, bands array<bigint>, sketch binary"), "minhash-signed")
-    members = signed.select(F.posexplode("bands").alias("band", "bucket"), "th", "weight").groupBy("bucket", "th").agg(F.first("weight").alias("weight"), F.first("band").alias("band"))
-    ends = members.groupBy("bucket").agg(F.min("th").alias("c"), F.max("th").alias("top"), F.count(F.lit(1)).alias("n")).filter("c < top").select("bucket", "n")
-    # similar texts' weights differ by the similarity at most, so they are in one class of weight or in neighbouring ones
+    under five words have one shingle, all their words. A very long text is signed whole, in memory proportional to its length. Repeated rows are
+    rows like any other. Empty table: no rows. Two texts of the same 64-bit hash would be taken for equal."""
+    keyed, found = roots(spark, docs, similarity, bands, rows)
+    placed = written(keyed.join(found, "th", "left").withColumn("root", F.coalesce("root", "th")), "minhash-placed")
+    size = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return placed.join(size, "root").select("doc_id", "th", F.col("root").alias("class_root"), "class_id", "class_size")
+
+
+def wide(spark: SparkSession, members: DataFrame, held: DataFrame, similarity: float, band_rows: int) -> DataFrame:
+    """th, root of the texts of groups that no one task may hold. members: band, bucket, th, weight; held: th, sketch, packed.
+    A bucket is split by weight, as similar texts have similar weights. In each part every text is held against the
+    most central one. Then, round by round, components of the links so far are formed; in a part that holds several,
+    texts outside its largest one become leaders, some each round, and are held against the part's texts of
+    other components, in blocks of bounded size, until no two texts of different classes share a part unseen."""
     size = F.floor(F.log("weight") / F.lit(max(1e-6, -math.log(similarity))) + 1e-9).cast("int")
-    members = written(members.join(ends, "bucket").withColumn("size", size), "minhash-buckets")
+    members = members.groupBy("bucket", "th").agg(F.first("weight").alias("weight"), F.first("band").alias("band")).withColumn("size", size)
     # a text that shares its buckets with many is central: near copies of one base are most like that one
-    central = members.groupBy("th").agg(F.sum("n").alias("shared"))
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    central = members.join(full, "bucket").groupBy("th").agg(F.sum("n").alias("shared"))
     members = members.join(central, "th").select(F.explode(F.array("size", F.col("size") + 1)).alias("part"), "bucket", "band", "th", "size", "shared")
     members = members.select(F.xxhash64("bucket", "part").alias("part"), "band", "th", (F.col("part") == F.col("size")).alias("upper"), "shared")
     center = members.groupBy("part").agg(F.max(F.struct("shared", "th")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("part", F.col("c.th").alias("c"))
     members = written(members.join(center, "part"), "minhash-members")
-    nodes = members.select("th").distinct()
-    texts = written(base.select("th", "text").mapInArrow(_pack, "th bigint, packed binary").join(nodes, "th", "left_semi").groupBy("th").agg(F.first("packed").alias("packed")), "minhash-texts")
-    sketches = written(signed.select("th", "sketch").join(nodes, "th", "left_semi").groupBy("th").agg(F.first("sketch").alias("sketch")), "minhash-sketches")
+    texts, sketches = held.select("th", "packed"), held.select("th", "sketch")
     pairs = members.filter("th <> c").select(F.least("c", "th").alias("a"), F.greatest("c", "th").alias("b")).distinct()
     done = members.filter("th = c").select("part", "th")
-    seen: list[DataFrame] = []
+    seen: DataFrame | None = None
     roots = spark.createDataFrame([], "th bigint, root bigint")
     while True:
         judged = written(_judged(pairs, texts), "minhash-judged")
-        seen.append(judged.select("a", "b"))
+        seen = judged.select("a", "b") if seen is None else written(seen.unionByName(judged.select("a", "b")), "minhash-seen")
         links = judged.filter(F.col("sim") >= similarity).select("a", "b").unionByName(roots.select(F.col("th").alias("a"), F.col("root").alias("b")))
         roots = components(links, "minhash-components").select(F.col("node").alias("th"), "root")
         rooted = written(members.select("part", "band", "th", "upper", "shared").join(roots, "th", "left").withColumn("root", F.coalesce("root", "th")), "minhash-rooted")
         mixed = rooted.groupBy("part", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("part", F.col("top.root").alias("most"))
         open_ = written(rooted.join(mixed, "part").filter("root <> most").join(done, ["part", "th"], "left_anti").drop("most"), "minhash-open")
         if open_.isEmpty():
-            break
+            return roots
         rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("shared"), "th"))
         lead = written(open_.withColumn("r", rank).filter(F.col("r") <= LEADERS).drop("r"), "minhash-leaders")
-        done = done.unionByName(lead.select("part", "th"))
-        likely = _meeting(rooted, lead, sketches, similarity - MARGIN, rows)
-        pairs = likely.distinct().join(_union(seen), ["a", "b"], "left_anti")
-    placed = written(signed.select("doc_id", "th").join(roots, "th", "left").withColumn("root", F.coalesce("root", "th")), "minhash-placed")
-    size = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(size, "root").select("doc_id", "th", F.col("root").alias("class_root"), "class_id", "class_size")
+        done = written(done.unionByName(lead.select("part", "th")), "minhash-done")
+        pairs = _meeting(rooted, lead, sketches, similarity - MARGIN, band_rows).distinct().join(seen, ["a", "b"], "left_anti")
 
 
 def _meeting(rooted: DataFrame, lead: DataFrame, sketches: DataFrame, least: float, band_rows: int) -> DataFrame:
@@ -217,7 +300,7 @@ def _likely(least: float, band_rows: int):
         order = np.lexsort((~leads, block, part))
         part, block, leads = part[order], block[order], leads[order]
         th, root, upper, band = (rows[c].to_numpy()[order] for c in ("th", "root", "upper", "band"))
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(len(part), -1)[order]
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(part), -1)[order]
         k = sketch.shape[1]
         first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (block[1:] != block[:-1])])
         found = [np.zeros((0, 2), np.int64)]
@@ -237,24 +320,20 @@ def _likely(least: float, band_rows: int):
     return run
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for x in tables[1:]:
-        out = out.unionByName(x)
-    return out
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("th", "class_root")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, with their columns, of which one of each class stays: the one with the least doc_id (a missing
-    one last), then text hash; of fully repeated rows one."""
-    found = classes(spark, docs, similarity)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("f")
-    kept = found.groupBy("class_root").agg(first).select(F.col("f.doc_id").alias("kept_id"), F.col("f.th").alias("kept_th"))
-    kept = written(kept, "minhash-kept")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_th"))
-    out = rows.join(kept, (F.col("own_th") == F.col("kept_th")) & F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.dropDuplicates(["own_id", "own_th"]).select("row.*")
+    one last), then with the least hash of all its columns; of fully repeated rows one. Null and empty texts are
+    one class. Rows of equal 64-bit hash of all columns are taken for equal. Empty table: no rows.
+
+    Who stays is decided on ids and hashes; texts are shuffled once, by the hash of their row."""
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.xxhash64(*docs.columns).alias("row_hash"))
+    _, found = roots(spark, docs.select("doc_id", "text"), similarity)
+    placed = keyed.join(found, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_hash")).alias("f")
+    kept = written(placed.groupBy("root").agg(first).select(F.col("f.row_hash").alias("kept")), "minhash-kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("own"))
+    return rows.join(kept, F.col("own") == F.col("kept"), "left_semi").dropDuplicates(["own"]).select("row.*")

@@ -82,12 +82,39 @@ def test_classes(spark):
     assert all(r.class_size == sizes[r.class_id] for r in got)
 
 
-def test_rounds(spark, monkeypatch):
+def test_groups_that_no_task_may_hold(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LEADERS", 1)
+    monkeypatch.setattr(minhash, "GROUP_TEXTS", 3)
     texts = chain(random.Random(5))
     assert {r.doc_id: r.class_id for r in run(spark, texts)} == dict(enumerate(brute(texts)))
 
 
+def test_recall_by_length(spark):
+    """Pairs with changed words, at similarity 0.8 to 0.9 of their shingles, by brute force: found, at every length."""
+    rnd, texts, due = random.Random(8), [], []
+    for n in (40, 60, 100, 300, 1000):
+        for _ in range(30):
+            while True:
+                a = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+                b = a[:]
+                for _ in range(rnd.randrange(1, max(2, n // 25))):
+                    b[rnd.choice([0, 1, n - 1, rnd.randrange(n)])] = f"c{rnd.randrange(10**6)}"
+                if 0.8 <= alike(bag(" ".join(a)), bag(" ".join(b))) < 0.9:
+                    break
+            due.append((n, len(texts)))
+            texts += [" ".join(a), " ".join(b)]
+    got = {r.doc_id: r.class_id for r in run(spark, texts)}
+    for n in (40, 60, 100, 300, 1000):
+        found = [got[i + 1] == i for m, i in due if m == n]
+        assert sum(found) >= 0.97 * len(found), (n, sum(found))
+
+
+def test_ties_are_stable(spark):
+    rows = [(1, "a b c d e f g", x, "s", 0) for x in ("fr", "en", "de")] * 2 + [(2, "other", None, None, None)]
+    got = {tuple(sorted(map(str, minhash.deduplicated(spark, frame(spark, rows).repartition(n)).collect()))) for n in (1, 2, 3, 5)}
+    assert len(got) == 1 and len(next(iter(got))) == 2
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
     got = {r.doc_id: r.class_id for r in minhash.query(spark, "/root/testdata/sf0.001").collect()}
@@ -127,8 +154,8 @@ def test_sketches_lose_less_than_bands():
     least = math.ceil((s - minhash.MARGIN) * n - 1e-9)
     lost = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(least))
     assert lost < (1 - s**minhash.BAND_ROWS) ** minhash.BANDS / 5
-    a = np.arange(n, dtype="<u2")
-    b = np.where(np.arange(n) < 0.72 * n, a, a + 1).astype("<u2")
+    a = (np.arange(n) % 200).astype(np.uint8)
+    b = np.where(np.arange(n) < 0.72 * n, a, a + 1).astype(np.uint8)
     cols = {"part": [1, 1], "block": [0, 0], "leads": [True, False], "th": [5, 6], "root": [5, 6], "upper": [True, True], "band": [0, 0]}
     rows = pa.table(cols | {"sketch": pa.array([a.tobytes(), b.tobytes()])})
     assert minhash._likely(s - minhash.MARGIN, minhash.BAND_ROWS)(rows).to_pylist() == [{"a": 5, "b": 6}]
