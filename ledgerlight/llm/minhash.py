@@ -219,9 +219,11 @@ def roots(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY,
     ends = members.groupBy("bucket").agg(F.min("th").alias("c"), F.max("th").alias("top")).filter("c < top").select("bucket", "c")
     grouped = components(members.join(ends, "bucket").filter("th <> c").select(F.col("th").alias("a"), F.col("c").alias("b")), "minhash-groups")
     grouped = grouped.select(F.col("node").alias("th"), F.col("root").alias("group"))
+    # merged at every size: a small input takes the plan that a large one needs
+    grouped = grouped.hint("merge")
     sketches = signed.groupBy("th").agg(F.first("sketch").alias("sketch"))
     texts = base.select("th", "text").mapInArrow(_pack, "th bigint, size bigint, packed binary").join(grouped, "th", "left_semi").groupBy("th").agg(F.first("size").alias("size"), F.first("packed").alias("packed"))
-    held = written(grouped.join(sketches, "th").join(texts, "th"), "minhash-held")
+    held = written(sketches.join(grouped, "th").join(texts.hint("merge"), "th"), "minhash-held")
     over = held.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).filter((F.col("n") > GROUP_TEXTS) | (F.col("bytes") > GROUP_BYTES)).select("group")
     over = written(over, "minhash-over")
     wider = not over.isEmpty()
