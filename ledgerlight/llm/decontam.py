@@ -7,7 +7,9 @@ all with few enough changed words, decides. An item of MIN_WORDS words or fewer
 which is whole however the changed words it may have lie. Texts are compared as lower-cased words without ASCII punctuation.
 
 The benchmark goes out in blocks of bounded size: a block is a broadcast of at most BLOCK_BYTES of text, and
-a larger benchmark means more blocks, each held against all documents. No document is shuffled.
+a larger benchmark means more blocks, each held against all documents, one after the other: what a block has found
+is written before the next one goes out. No document is shuffled. Hits are gone through in bounded pieces, and of a run
+of hits on one diagonal only the first counts, so a text that repeats itself takes no more memory than others.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import words as W
+from ledgerlight.llm.workspace import dropped, written
 
 #: Masks of the words that count, 1, and those that don't, 0.
 MASKS = ("11111111", "1101100101011", "110010100110111", "1110100010110011")
@@ -29,6 +32,8 @@ MIN_WORDS = 13
 #: ... with so many changed words for each matching one at most.
 CHANGED = 0.25
 BLOCK_BYTES = 8 << 20
+#: Pairs of equal hashes that are looked at together.
+PAIRS = 1 << 20
 PARTS = W.separators(bytes(c for c in range(128) if not chr(c).isalnum()))
 
 
@@ -36,9 +41,8 @@ class Probe:
     """A block of benchmark items, ready to be searched for."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        data = [t.lower().encode() for _, t in items]
-        at = np.cumsum([0, *map(len, data)])
-        self.words = W.Words(np.frombuffer(b"".join(data), np.uint8), at, PARTS)
+        data, at = W.buffers(lowered(pa.array([t for _, t in items], pa.large_string())))
+        self.words = W.Words(data[at[0] : at[-1]], at - at[0], PARTS)
         self.ids = [i for i, _ in items]
         self.item_of = np.repeat(np.arange(len(items)), self.words.counts)
         found = [self._masked(self.words, m) for m in range(len(MASKS))]
@@ -65,30 +69,43 @@ class Probe:
         return W.mix(h), at
 
     @staticmethod
-    def _table(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes, their places, and a bitmap over 20 hash bits that most other hashes fail."""
+    def _table(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sorted hashes, their places, a bitmap over 20 hash bits that most other hashes fail, and the hash of the place
+        before, if it is in the same item, else 0."""
         order = np.argsort(h, kind="stable")
         seen = np.zeros(1 << 20, bool)
         seen[(h >> W.U(44)).astype(np.int64)] = True
-        return h[order], place[order], seen
+        before = np.zeros(len(h), W.U)
+        before[1:][place[1:] == place[:-1] + 1] = h[:-1][place[1:] == place[:-1] + 1]
+        return h[order], place[order], seen, before[order]
 
     @staticmethod
-    def _find(table: tuple, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (word of the document, word of the benchmark) of equal hashes."""
-        keys, place, seen = table
+    def _found(table: tuple, h: np.ndarray, at: np.ndarray, *, run: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (word of the document, word of the benchmark) of equal hashes, in pieces. run: leave out those that go on from
+        a pair of the words before."""
+        keys, place, seen, before = table
         maybe = np.flatnonzero(seen[(h >> W.U(44)).astype(np.int64)])
         lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
-        n = hi - lo
-        mine = np.repeat(at[maybe], n)
-        theirs = place[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        return mine, theirs
-
-    def hits(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        out = [self._find(t, *self._masked(words, m)) for m, t in enumerate(self.tables)]
+        maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        goes_on = np.zeros(len(h), bool)
+        goes_on[1:] = at[1:] == at[:-1] + 1
+        for first in range(0, int(upto[-1]), PAIRS):
+            pair = np.arange(first, min(first + PAIRS, int(upto[-1])))
+            of = np.searchsorted(upto, pair, "right") - 1
+            mine, k = maybe[of], lo[of] + pair - upto[of]
+            if run:
+                new = ~goes_on[mine] | (before[k] == 0) | (before[k] != h[mine - 1])
+                mine, k = mine[new], k[new]
+            yield at[mine], place[k]
+
+    def hits(self, words: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for m, t in enumerate(self.tables):
+            yield from self._found(t, *self._masked(words, m), run=True)
         for n, t in self.short_tables.items():
             at, _ = W.starts(words, n)
-            out.append(self._whole(words, *self._find(t, W.rolled(words, n)[at], at)))
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+            for pair in self._found(t, W.rolled(words, n)[at], at, run=False):
+                yield self._whole(words, *pair)
 
     def _whole(self, words: W.Words, mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs around which a short item occurs whole, with few enough changed words."""
@@ -107,12 +124,11 @@ class Probe:
 
     def matches(self, words: W.Words) -> Iterator[tuple[int, int, int, int, int]]:
         """Text, item, first word of the stretch in the text, its length, and how many of its words are equal."""
-        mine, theirs = self.hits(words)
-        if not len(mine):
-            return
-        doc = np.searchsorted(words.first, mine, "right") - 1
-        item = self.item_of[theirs]
-        for d, i, diagonal in sorted({*zip(doc.tolist(), item.tolist(), (mine - theirs).tolist(), strict=True)}):
+        diagonals: set[tuple[int, int, int]] = set()
+        for mine, theirs in self.hits(words):
+            doc = np.searchsorted(words.first, mine, "right") - 1
+            diagonals.update(zip(doc.tolist(), self.item_of[theirs].tolist(), (mine - theirs).tolist(), strict=True))
+        for d, i, diagonal in sorted(diagonals):
             a0, a1 = self.words.first[i], self.words.first[i + 1]
             lo, hi = max(words.first[d], a0 + diagonal), min(words.first[d + 1], a1 + diagonal)
             same = words.hashes[lo:hi] == self.words.hashes[lo - diagonal : hi - diagonal]
@@ -126,6 +142,11 @@ class Probe:
                 yield d, self.ids[i], int(lo + begin - words.first[d]), end - begin, equal
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """Lower case, for documents and items alike."""
+    return pc.utf8_lower(texts)
+
+
 def changeable(n: int) -> int:
     """How many of n words may be changed."""
     return int(CHANGED * n / (1 + CHANGED) + 1e-9)
@@ -159,43 +180,46 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _search(probe) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+SPANS = "array<struct<item_id: bigint, first_word: int, n_words: int, n_equal: int>>"
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("n_equal", pa.int32())]))
+
+
+def _search(probe, into: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds what a block has found to column into."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = probe.value
         for b in parts:
             found: list[list[tuple[int, int, int, int]]] = [[] for _ in range(b.num_rows)]
-            for i, _, words in W.batches(pc.utf8_lower(b.column("text")), PARTS):
+            for i, _, words in W.batches(lowered(b.column("text")), PARTS):
                 for d, *m in p.matches(words):
                     found[i + d].append(tuple(m))
             spans = [[dict(zip(("item_id", "first_word", "n_words", "n_equal"), m, strict=True)) for m in sorted(x)] for x in found]
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("n_equal", pa.int32())]))
-            rest = [b.column(c) for c in b.schema.names if c not in ("text", "spans")]
-            keep = [c for c in b.schema.names if c not in ("text", "spans")]
-            old = b.column("spans").to_pylist()
-            both = [(o or []) + s for o, s in zip(old, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([*rest, b.column("text"), pa.array(both, kind)], names=[*keep, "text", "spans"])
+            old = b.column(into).to_pylist()
+            both = pa.array([(o or []) + s for o, s in zip(old, spans, strict=True)], _KIND)
+            yield pa.RecordBatch.from_arrays([both if c == into else b.column(c) for c in b.schema.names], names=b.schema.names)
 
     return run
 
 
-SPANS = "array<struct<item_id: bigint, first_word: int, n_words: int, n_equal: int>>"
-
-
-def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs with spans, a list of (item_id, first_word, n_words, n_equal) of the stretches that overlap a
-    benchmark item (item_id, text); empty for a clean text. Other columns of docs are kept; one named spans is
+def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, into: str = "spans") -> DataFrame:
+    """The rows of docs with into, a list of (item_id, first_word, n_words, n_equal) of the stretches that overlap a
+    benchmark item (item_id, text); empty for a clean text. Other columns of docs are kept; one named like into is
     replaced. Null and empty texts are clean, null and wordless items match nothing, repeated rows are judged
-    alike, an item of MIN_WORDS words or fewer must occur whole, but for its changed words. Empty tables: no rows, or all clean."""
-    names = [c for c in docs.columns if c not in ("text", "spans")]
-    out = docs.select(*names, "text", F.lit(None).cast(SPANS).alias("spans"))
-    found = False
-    for block in _blocks(benchmark):
-        found = True
+    alike, an item of MIN_WORDS words or fewer must occur whole, but for its changed words. Very long texts are searched whole, each in memory
+    proportional to its length. Empty tables: no rows, or all clean."""
+    out = docs.drop(into).withColumn(into, F.array().cast(SPANS))
+    blocks, last = _blocks(benchmark), None
+    block = next(blocks, None)
+    while block:
         probe = spark.sparkContext.broadcast(Probe(block))
-        out = out.mapInArrow(_search(probe), out.schema)
-    if not found:
-        out = out.withColumn("spans", F.array().cast(SPANS))
-    return out.select(*(c for c in docs.columns if c != "spans"), "spans")
+        out = out.mapInArrow(_search(probe, into), out.schema)
+        if block := next(blocks, None):  # one block at a time is held by the driver and the executors
+            table = written(out, "decontam-block")
+            probe.destroy()
+            if last is not None:
+                dropped(last)
+            out = last = table
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

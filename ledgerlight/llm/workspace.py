@@ -11,18 +11,38 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the session sets it; else, as in local tests, a folder of this process."""
+    """spark.checkpoint.dir where the session sets it; else, with a local master as in tests, a folder of this process.
+    A cluster without that setting is refused: executors would write to disks that no other one reads."""
     if set_by_cluster := spark.conf.get("spark.checkpoint.dir", None):
         return set_by_cluster.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="ledgerlight-")
-    return _own[app]
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="ledgerlight-")
+    return _own[context.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table that outlives its executors: later reads don't compute it again and don't depend on
-    shuffle files. It stays until the shared folder is cleaned."""
+    shuffle files. It stays until it is dropped or the shared folder is cleaned."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that written() returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, *taken: list[str]) -> str:
+    """name, or name with underscores before it, so that no column is called so, in upper or lower case."""
+    own = {c.lower() for columns in taken for c in columns}
+    while name.lower() in own:
+        name = f"_{name}"
+    return name

@@ -6,6 +6,7 @@ from cases import frame, odd_docs
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import decontam
+from ledgerlight.llm import words as W
 
 ITEMS = "item_id bigint, text string"
 
@@ -66,6 +67,7 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
     many = decontam.overlaps(spark, frame(spark, rows), bench).collect()
     key = lambda r: (r.doc_id, sorted(map(tuple, r.spans)))
+    assert len(list(decontam._blocks(bench))) > 2
     assert sorted(map(key, one)) == sorted(map(key, many))
 
 
@@ -119,3 +121,29 @@ def test_changed_words(spark):
     exact = {k for k, (n, _) in enumerate(plan) if n <= 14}
     assert got <= want and got & exact == want & exact
     assert len(got) >= 0.99 * len(want)
+
+
+def test_capitals_beyond_ascii(spark):
+    """Final sigma, dotted capital I, and others: an item is found in itself, in upper, lower and mixed case."""
+    texts = ["Ο ΣΟΦΟΣ ΟΔΥΣΣΕΥΣ ΚΑΙ Ο ΛΑΟΣ ΤΗΣ ΙΘΑΚΗΣ ΕΙΔΑΝ ΤΟΝ ΚΟΣΜΟ ΤΗΣ ΘΑΛΑΣΣΑΣ ΜΑΖΙ ΧΘΕΣ", "İSTANBUL İLE İZMİR ARASINDA IŞIKLI BİR YOL VARDI VE İNSANLAR ORADA IRMAK KIYISINDA İYİ YAŞARDI", "STRASSE ÉTÉ ÆON ЖИЗНЬ МИР ДОМ КОТ ЛЕС РЕКА ПОЛЕ СНЕГ ВЕСНА ЛЕТО ОСЕНЬ"]
+    rows = [(i, t, "x", "s", 0) for i, t in enumerate(texts)] + [(10, texts[2].lower(), "x", "s", 0), (11, texts[2].title(), "x", "s", 0)]
+    out = decontam.overlaps(spark, frame(spark, rows), spark.createDataFrame(list(enumerate(texts)), ITEMS)).collect()
+    assert {r.doc_id: {s.item_id for s in r.spans} for r in out} == {0: {0}, 1: {1}, 2: {2}, 10: {2}, 11: {2}}
+
+
+def test_long_text_that_repeats_itself(monkeypatch):
+    """Hits of an 80,000-word text of one word with an item of the same word: some 124 million pairs, held a piece at a time."""
+    probe = decontam.Probe([(1, "so " * 400), (2, "other words that are not there at all in this text but are many enough")])
+    most = []
+    found = decontam.Probe._found
+
+    def watched(*a, **k):
+        for x in found(*a, **k):
+            most.append(len(x[0]))
+            yield x
+
+    monkeypatch.setattr(decontam.Probe, "_found", staticmethod(watched))
+    text = W.Words(np.frombuffer(b"so " * 80_000, np.uint8), np.array([0, 240_000]), decontam.PARTS)
+    spans = list(probe.matches(text))
+    assert max(most) <= decontam.PAIRS and sum(most) < 400_000
+    assert {s[1] for s in spans} == {1} and max(s[4] for s in spans) == 400
