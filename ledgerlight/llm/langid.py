@@ -5,8 +5,8 @@ and lie side by side: slot i of one array holds bit i of every language's filter
 slots is the bitmask of all languages that hold it; a slot has as many words of 64 bits as the languages need. A text's n-grams are counted for each language, the counts
 are corrected for what a filter passes by chance, and the largest share decides.
 
-The filters are fitted on a bounded, hash-chosen sample (SAMPLE texts a language), so that they are of
-bounded size and can be broadcast; every text is scored whole.
+The filters are fitted on a bounded, hash-chosen sample (SAMPLE texts a language), so that a language's filter is of
+bounded size and all can be broadcast; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from ledgerlight.llm import words as W
 
 NGRAM = 4
-#: Documented bounds: texts a language in the fit, n-grams over all filters. Languages are not bounded.
-SAMPLE, GRAMS = 3000, 400_000
+#: Documented bounds, for each language: texts in the fit, n-grams in its filter. Languages are not bounded.
+SAMPLE, GRAMS = 3000, 100_000
+#: n-gram counts that a task holds before it sends them on.
+HELD = 1 << 20
 #: An n-gram is typical of a language in which it has at least this part of its highest frequency.
 TYPICAL = 0.4
 LEAST_COUNT = 3
@@ -66,6 +68,13 @@ def _count(languages: list[str]):
     """n-gram counts of each language in a task's texts."""
     place = {x: k for k, x in enumerate(languages)}
 
+    def sent(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, key in enumerate(keys):
+            for a in range(0, len(key), 1 << 16):
+                z = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(W.as_signed(key[z])), pa.array(np.full(len(key[z]), k, np.int32)), pa.array(counts[k][z])], names=["gram", "k", "n"])
+            keys[k], counts[k] = np.zeros(0, W.U), np.zeros(0, np.int64)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [np.zeros(0, W.U)] * len(languages), [np.zeros(0, np.int64)] * len(languages)
         for b in parts:
@@ -78,10 +87,9 @@ def _count(languages: list[str]):
                     both, inverse = np.unique(np.concatenate([keys[k], new]), return_inverse=True)
                     counts[k] = np.bincount(inverse, np.concatenate([counts[k], n]), len(both)).astype(np.int64)
                     keys[k] = both
-        for k, key in enumerate(keys):
-            for a in range(0, len(key), 1 << 16):
-                z = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(W.as_signed(key[z])), pa.array(np.full(len(key[z]), k, np.int32)), pa.array(counts[k][z])], names=["gram", "k", "n"])
+                if sum(map(len, keys)) > HELD:
+                    yield from sent(keys, counts)
+        yield from sent(keys, counts)
 
     return run
 
@@ -145,11 +153,12 @@ def fit(spark: SparkSession, docs: DataFrame) -> Filters | None:
     placed = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place"))
     picked = placed.filter(F.col("place") < share[F.col("lang")]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE)
     ids = picked.select("doc_id").distinct()  # SAMPLE ids a language at most
-    texts = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    # an id on many rows counts once a language, with its least text
+    texts = known.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     each = texts.mapInArrow(_count(languages), "gram bigint, k int, n bigint").groupBy("gram", "k").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("k").orderBy(F.desc("n"), "gram")
-    each = each.filter(F.col("n") >= LEAST_COUNT).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(1, GRAMS // len(languages))).select("gram", "k", "n")
-    rows = each.toPandas()  # GRAMS at most
+    each = each.filter(F.col("n") >= LEAST_COUNT).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= GRAMS).select("gram", "k", "n")
+    rows = each.toPandas()  # GRAMS a language at most
     gram, at = np.unique(rows["gram"].to_numpy(np.int64), return_inverse=True)
     k, n = rows["k"].to_numpy(), rows["n"].to_numpy().astype(float)
     part = n / np.maximum(1, np.bincount(k, n, len(languages)))[k]
@@ -188,7 +197,8 @@ def _predict(shared):
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang; more columns are left out).
     lang_pred: und, score 0, where the text is null or has no letter, and everywhere if no language is known. A
-    text with letters but without a known n-gram gets the commonest language and the score 1 / languages. Ties
+    text with letters but without a known n-gram gets the commonest language and the score 1 / languages. Very long texts are scored
+    whole, a text at a time. Ties
     go to the first language by code point. Repeated rows are judged alike. Empty table: no rows."""
     shared = spark.sparkContext.broadcast(fit(spark, docs))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

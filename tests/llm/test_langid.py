@@ -73,3 +73,32 @@ def test_filters_of_several_words():
     x = np.concatenate([grams[k == m] for m in mine])
     first = np.cumsum([0, *(int((k == m).sum()) for m in mine)])
     assert f.shares(x, first).argmax(1).tolist() == mine
+
+
+def test_shares_against_counting(spark):
+    """Shares of the filters against sets of n-grams, without Bloom filters."""
+    rng = np.random.default_rng(6)
+    grams = np.unique(rng.integers(1, 1 << 63, 9000).astype(np.uint64))
+    masks = rng.integers(1, 8, len(grams)).astype(np.uint64)
+    f = langid.Filters(list("abc"), grams, masks, 0)
+    held = [set(grams[(masks >> np.uint64(k)) & np.uint64(1) == 1].tolist()) for k in range(3)]
+    texts = [rng.choice(grams, 400) if i % 2 else np.r_[rng.choice(grams, 200), rng.integers(1, 1 << 63, 200).astype(np.uint64)] for i in range(20)]
+    shares = f.shares(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    for t, got in zip(texts, shares, strict=True):
+        n = np.array([sum(x in h for x in t.tolist()) for h in held], float)
+        assert np.abs(got - n / n.sum()).max() < 0.02
+
+
+def test_counts_flushed(monkeypatch):
+    b = pa.RecordBatch.from_arrays([pa.array(["en", "fr"] * 20), pa.array([f"text number {i} of some" for i in range(40)])], names=["lang", "text"])
+
+    def counted():
+        n = {}
+        for r in langid._count(["en", "fr"])(iter([b, b])):
+            for g, k, c in zip(*(x.to_pylist() for x in r.columns), strict=True):
+                n[g, k] = n.get((g, k), 0) + c
+        return n
+
+    whole = counted()
+    monkeypatch.setattr(langid, "HELD", 10)
+    assert counted() == whole and len(whole) > 40
