@@ -41,6 +41,8 @@ LEXICON = ("bastard", "clown", "crap", "disgusting", "dumb", "filth", "fool", "g
 FIRES, MISFIRES, TOXIC = 0.2, 0.002, 0.05
 STEPS, GOLD = 6, 4.0
 CACHE = 1 << 20
+#: Features whose counts a task holds before it sends them on.
+HELD = 1 << 20
 PLACES = 1 << 40
 
 _word = re.compile(r"[^\W\d_]+")
@@ -102,14 +104,21 @@ def _texts(b: pa.RecordBatch) -> Iterator[str]:
 def _counts(parts: Batches) -> Batches:
     """Toxic and clean texts in which each feature occurs, for a task's texts."""
     n: dict[str, list[int]] = {}
+
+    def sent() -> Batches:
+        rows = list(n.items())
+        n.clear()
+        for i in range(0, len(rows), 1 << 16):
+            f, c = zip(*rows[i : i + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array([x[1] for x in c], pa.int64()), pa.array([x[0] for x in c], pa.int64())], names=["feature", "toxic", "clean"])
+
     for b in parts:
         for text, y in zip(_texts(b), b.column("y").to_pylist(), strict=True):
             for f in features(text):
                 n.setdefault(f, [0, 0])[y] += 1
-    rows = list(n.items())
-    for i in range(0, len(rows), 1 << 16):
-        f, c = zip(*rows[i : i + (1 << 16)], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array([x[1] for x in c], pa.int64()), pa.array([x[0] for x in c], pa.int64())], names=["feature", "toxic", "clean"])
+            if len(n) > HELD:
+                yield from sent()
+    yield from sent()
 
 
 def _present(vocabulary: list[str]) -> Callable[[Batches], Batches]:
@@ -259,7 +268,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Classifier:
     low = F.when(F.col("y") == 1, _low(SAMPLE[1], number.get(1, 0))).otherwise(_low(SAMPLE[0], number.get(0, 0)))
     order = Window.partitionBy("y").orderBy("place", "doc_id")
     picked = given.withColumn("place", place).filter(F.col("place") < low).withColumn("r", F.row_number().over(order)).filter((F.col("r") <= SAMPLE[0]) & ((F.col("y") == 0) | (F.col("r") <= SAMPLE[1]))).select("doc_id", "y")
-    sample = written(learnable.join(F.broadcast(picked), "doc_id").select("text", "y"), "toxicity-sample")  # SAMPLE rows
+    # an id on many rows counts once, with its least text
+    sample = learnable.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = written(sample.select("text", "y"), "toxicity-sample")  # SAMPLE rows
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -290,25 +301,25 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier(vocabulary, _train(x.astype(np.float32), 1 / (1 + np.exp(-np.clip(said, -50, 50))), weight))
 
 
-def _score(shared, columns: list[str]) -> Callable[[Batches], Batches]:
+def _score(shared, columns: list[str], into: str) -> Callable[[Batches], Batches]:
     def run(parts: Batches) -> Batches:
         model = shared.value
         read, weights, bias = Reader(model.vocabulary), model.weights[:-1].tolist(), float(model.weights[-1])
         for b in parts:
             z = np.array([bias + sum(weights[i] for i in sorted(read(t))) for t in _texts(b)])
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(score, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(score, pa.float64())], names=[*columns, into])
 
     return run
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) with score, from 0 to 1: how likely the text is toxic. A column of docs named
-    score is replaced. Null and empty texts get the score of a text without any known feature. Without labels
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, into: str = "score") -> DataFrame:
+    """The rows of docs (doc_id, text, ...) with into, from 0 to 1: how likely the text is toxic. A column of docs named
+    like into is replaced. Null and empty texts get the score of a text without any known feature. Very long texts are scored whole. Without labels
     the lexicon decides alone. Repeated rows are scored alike. Empty table: no rows."""
     shared = spark.sparkContext.broadcast(fit(spark, docs, labels))
-    own = docs.drop("score")
-    return own.mapInArrow(_score(shared, own.columns), T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())]))
+    own = docs.drop(into)
+    return own.mapInArrow(_score(shared, own.columns, into), T.StructType([*own.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
