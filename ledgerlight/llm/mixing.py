@@ -3,7 +3,8 @@
 Every document gets a hash-random key; each source is cut where the running sum of its sizes, in key order,
 reaches its budget, after as many whole repeats (epochs) as the budget holds. The prefix sum is distributed: keys
 are uniform, so equal ranges of keys (buckets) are even even in a hot source; sums of buckets are added up
-source by source, and only the one bucket that holds a source's cut is ordered row by row. What is decided
+source by source, and only the one bucket that holds a source's cut is ordered row by row; a source of n rows has
+the root of n buckets, so neither list is long. What is decided
 is a cut row for each source, so no text is shuffled.
 """
 
@@ -18,8 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-#: Rows to a bucket, and buckets to a source at most.
-BUCKET_ROWS, BUCKETS = 500, 1 << 14
 KEY_BITS = 60
 
 
@@ -59,7 +58,7 @@ def cuts(spark: SparkSession, keyed: DataFrame, weights: tuple[int, ...] = WEIGH
     per = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goal = F.floor("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("bigint")
-    plan = written(targets(per, weights, cap).withColumn("epochs", epochs).withColumn("rest", goal - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.least(F.lit(BUCKETS), F.ceil(F.col("n") / BUCKET_ROWS)).cast("bigint")), "mix-plan")
+    plan = written(targets(per, weights, cap).withColumn("epochs", epochs).withColumn("rest", goal - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.sqrt("n")).cast("bigint")), "mix-plan")
     bucket = F.shiftright(F.shiftright("key", KEY_BITS - 40) * F.col("buckets"), 40)
     rows = keyed.join(plan.select("sid", "source", "buckets", "rest"), keyed.source.eqNullSafe(plan.source)).drop(plan.source).withColumn("bucket", bucket)
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -88,7 +87,7 @@ def taken(whole: bool) -> Column:
 
 def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source; more columns are
-    left out). Null text: size 0. Null source: a source of its own, last. Null and repeated ids: rows like any
+    left out). Null text: size 0; a very long one is counted whole. Null source: a source of its own, last. Null and repeated ids: rows like any
     other; fully equal rows at a cut share its words evenly. Empty table: no rows."""
     keyed = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key")), "mix-keys")
     plan = cuts(spark, keyed, weights, cap)
@@ -97,13 +96,14 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[int, ...] = WEIG
 
 
 def mixed(spark: SparkSession, docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The mixture itself: rows of docs with their columns, each as often as it is taken; documents stay whole.
-    A row without words can't be weighed and is taken once in each whole epoch, or once if there is none."""
-    sized = docs.withColumn("__size", size_of(F.col("text"))).withColumn("__key", key_of(F.col("doc_id"), seed))
-    keyed = written(sized.select("doc_id", "source", F.col("__size").alias("size"), F.col("__key").alias("key")), "mix-keys")
+    """The mixture itself: rows of docs with their columns, whatever they are called, each as often as it is taken;
+    documents stay whole. A row without words, null texts among them, can't be weighed and is taken once in each
+    whole epoch, or once if there is none. Null source: a source of its own, last. Null and repeated ids: rows like any other; fully equal
+    rows at a cut go in together or not at all. Empty table: no rows."""
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("source").alias("own_source"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
+    keyed = written(sized.select("doc_id", F.col("own_source").alias("source"), "size", "key"), "mix-keys")
     plan = cuts(spark, keyed, weights, cap)
-    ahead = sized.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("source").alias("own_source"), F.col("__size").alias("size"), F.col("__key").alias("key"))
-    rows = ahead.join(plan, F.col("own_source").eqNullSafe(F.col("source")))
+    rows = sized.join(plan, F.col("own_source").eqNullSafe(F.col("source")))
     copies = F.when(F.col("size") > 0, F.floor(taken(whole=True) / F.greatest(F.col("size"), F.lit(1)))).otherwise(F.greatest(F.col("epochs"), F.lit(1))).cast("int")
     return rows.withColumn("copies", copies).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 

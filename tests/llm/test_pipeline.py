@@ -49,13 +49,19 @@ def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
-    got = Counter(map(tuple, out.collect()))
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = Counter(map(tuple, out.select(*names).collect()))
     assert got == Counter(shards([tuple(r) for r in docs.select("doc_id", "text").collect()]))
     assert {s for *_, s, _, _ in got} == set(range(8))
+    assert rows(out.select(*docs.columns)) == rows(docs)  # a written shard set holds the mixed rows
 
 
 def test_odd_rows(spark, tmp_path):
-    docs = frame(spark, odd_docs()).withColumn("score", F.lit("clash")).withColumn("spans", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("shard", F.lit(2))
+    """Columns with names that stages use themselves come back with their values."""
+    docs = frame(spark, odd_docs())
+    clashing = ["score", "spans", "row", "shard", "slot", "size", "key", "__size", "__key", "copies", "epochs", "th", "own"]
+    for c in clashing:
+        docs = docs.withColumn(c, F.lit(f"clash {c}"))
     spark.createDataFrame([(3, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for start in (docs, docs.limit(0)):
@@ -63,4 +69,7 @@ def test_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             x = stage(spark, x, str(tmp_path))
             assert x.columns == docs.columns
-        assert corpus_pipeline.STAGES[-1][1](spark, x, str(tmp_path)).count() == x.count()
+            assert all(r[c] == f"clash {c}" for r in x.select(*clashing).collect() for c in clashing)
+        last = corpus_pipeline.STAGES[-1][1](spark, x, str(tmp_path))
+        assert last.count() == x.count()
+        assert all((r._shard, r._slot, r._size) == ("clash shard", "clash slot", "clash size") for r in last.collect())

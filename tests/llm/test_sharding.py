@@ -37,5 +37,17 @@ def test_files(spark, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
 
 
+def test_files_with_missing_and_repeated_ids(spark, tmp_path):
+    """Each physical row is in one shard, with the values it had, and shards and slots are those of brute force."""
+    data = odd_docs() + [(7, f"same id {i % 3}", "en", "s", 1) for i in range(40)] + [(None, "x" * i, None, None, None) for i in range(9)]
+    docs = frame(spark, data).repartition(3)
+    back = sharding.write_shards(spark, docs, str(tmp_path / "odd"))
+    got = [tuple(r) for r in back.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    assert sorted(got, key=repr) == sorted(data, key=repr)
+    placed = [(r.doc_id, r.size, r.text_crc32, "bytes", r.shard, r.slot, None) for r in back.collect()]
+    assert sorted(placed, key=repr) == sorted(brute(data), key=repr)
+
+
 def test_empty(spark):
+    assert sharding.sharded(spark, frame(spark, [])).count() == 0
     assert sharding.shard(spark, frame(spark, [])).count() == 0
