@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Encodings narrow the inputs; a precomputed filter bitmap needs them.
+#: Plans of the plain table.
 PLACEMENTS = ("direct", "wide_decimal", "conditional_sums", "morsel_partials", "vector_preaggregate")
 
 
@@ -37,6 +37,8 @@ class RunOptions:
             raise ValueError(f"unknown plan {self.plan!r}; one of {', '.join(PLACEMENTS)}")
         if self.use_filter_pushdown and not self.apply_compression:
             raise ValueError("the filter bitmap needs compressed columns")
+        if self.plan != "direct" and (self.apply_compression or self.use_filter_pushdown or self.use_coprocessing):
+            raise ValueError(f"plan {self.plan!r} works on the plain table in one part")
 
     @property
     def sf_dir(self) -> str:

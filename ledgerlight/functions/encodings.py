@@ -68,6 +68,32 @@ def bit_get(word: Column, bit: Column) -> Column:
     return F.call_function("getbit", word, bit)
 
 
+def _ones(width: Column | int) -> Column:
+    """The lowest width bits, for 0 to 62 of them."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(width).cast("int") if isinstance(width, int) else width) - F.lit(1).cast("bigint")
+
+
+def set_bit(word: Column, bit: Column) -> Column:
+    """A bigint with that bit on."""
+    return word.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+
+
+def clear_bit(word: Column, bit: Column) -> Column:
+    """A bigint with that bit off."""
+    return word.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)))
+
+
+def get_bit_range(word: Column, first: Column, width: Column | int) -> Column:
+    """The number in width bits from first on."""
+    return F.call_function("shiftrightunsigned", word, first).bitwiseAND(_ones(width))
+
+
+def set_bit_range(word: Column, first: Column, width: Column | int, value: Column) -> Column:
+    """A bigint with a number in width bits from first on; higher bits of the number are left out."""
+    hole = word.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", _ones(width), first)))
+    return hole.bitwiseOR(F.call_function("shiftleft", value.cast("bigint").bitwiseAND(_ones(width)), first))
+
+
 def set_bits(position: Column, bits: int, code: Column) -> Column:
     """The code of one element, shifted to its place in a 32-bit word held as bigint."""
     place = (position % F.lit(32 // bits)).cast("int") * F.lit(bits)

@@ -44,6 +44,32 @@ def charge(p: Column, d: Column, t: Column, one: int = 1) -> Column:
     return disc_price(p, d, one) * tax_factor(t, one)
 
 
+def narrow_minus(a: Column, b: Column) -> Column:
+    """Difference of one-byte integers, in one byte."""
+    return a.cast("tinyint") - b.cast("tinyint")
+
+
+def narrow_plus(a: Column, b: Column) -> Column:
+    """Sum of one-byte integers, in one byte."""
+    return a.cast("tinyint") + b.cast("tinyint")
+
+
+def wide_times(a: Column, b: Column) -> Column:
+    """Product of narrower integers, in eight bytes."""
+    return a.cast("bigint") * b.cast("bigint")
+
+
+def halves(term: Column) -> tuple[Column, Column]:
+    """A bigint as high and low part."""
+    return F.shiftright(term, LOW_BITS), term.bitwiseAND(F.lit(LOW_MASK))
+
+
+def from_halves(high: Column, low: Column, scale: int, kind: str) -> Column:
+    """What sums of high and low parts stand for, as a decimal of that type."""
+    total = high.cast("decimal(30,0)") * F.lit(1 << LOW_BITS).cast("decimal(8,0)") + low.cast("decimal(30,0)")
+    return (total.cast("decimal(30,0)") / F.lit(10**scale).cast("decimal(8,0)")).cast(kind)
+
+
 def exact_sum(term: Column, scale: int, precision: int) -> Column:
     """Sum of bigint terms as decimal(precision, scale). High and low parts are summed apart as bigints, so
     no realistic row count overflows and the aggregation buffer stays two longs."""

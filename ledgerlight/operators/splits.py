@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import aggregates
-from ledgerlight.schema import KEYS
 
 
-def split_at_fraction(df: DataFrame, fraction: float, batch: int) -> list[DataFrame]:
-    """Head and tail of each file's rows: the tail has about the given fraction, and the cut is aligned down
-    to a batch. The file's row count comes with the rows as a broadcast of one row a file."""
+def sided(df: DataFrame, fraction: float, batch: int) -> DataFrame:
+    """Adds tail: whether a row is in the tail of its file, which has about the given fraction of the file's rows, whatever
+    is filtered later; the cut is aligned down to a batch. Row counts come from positions alone, a scan without columns, and
+    go out as a broadcast of one row a file: a hundred bytes to each file of the table."""
     counts = df.groupBy("row_file").agg((F.max("row_pos") + 1).alias("n"))
     cut = (F.floor((F.col("n") * (1 - fraction)) / batch) * batch).alias("cut")
-    keyed = df.join(counts.select("row_file", cut), "row_file")
-    return [keyed.filter("row_pos < cut").drop("cut"), keyed.filter("row_pos >= cut").drop("cut")]
+    return df.join(F.broadcast(counts.select("row_file", cut)), "row_file").withColumn("tail", F.col("row_pos") >= F.col("cut")).drop("cut")
+
+
+def split_at_fraction(df: DataFrame, fraction: float, batch: int) -> list[DataFrame]:
+    """Head and tail of each file's rows."""
+    both = sided(df, fraction, batch)
+    return [both.filter(~F.col("tail")).drop("tail"), both.filter("tail").drop("tail")]
 
 
-def merged(parts: list[DataFrame]) -> DataFrame:
-    """Partial states of the parts, added group by group."""
-    states = [p.groupBy(*KEYS).agg(*aggregates.fixed_point_sums(p)) for p in parts]
-    return reduce(DataFrame.unionByName, states).groupBy(*KEYS).agg(*aggregates.merged_sums())
+def merged(both: DataFrame, keys: list[str], terms: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Partial states of head and tail, from one scan, added group by group."""
+    return aggregates.summed(both, ["tail", *keys], terms).groupBy(*keys).agg(*aggregates.merged_sums())

@@ -11,6 +11,7 @@ from ledgerlight.functions import dates, encodings, measures
 from ledgerlight.operators import aggregates, filters, stats
 from ledgerlight.plans import pricing
 from ledgerlight.schema import KEYS, MEASURES
+from ledgerlight.sources import text
 from ledgerlight.sources.tables import lineitem, prefix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,12 +92,34 @@ def _bitpack(df: DataFrame) -> DataFrame:
     return stats.unpack_codes(stats.pack_codes(df)).groupBy("flag_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded table, filter bitmap and split together."""
+    return pricing.combined(spark, sf_dir, encode=True, bitmap=True, split=(0.5, 1024))
+
+
 def _wide(df: DataFrame) -> DataFrame:
     return aggregates.conditional_sums(df.filter(filters.shipped_by()))
 
 
 def _prefix(df: DataFrame) -> DataFrame:
-    return pricing.pricing_summary(prefix(df, 10_000))
+    """A tenth of a table of scale factor 1; of another number of rows, all."""
+    return pricing.pricing_summary(prefix(df, 0.1))
+
+
+def _text(df: DataFrame) -> DataFrame:
+    """The summary over rows that were text in between."""
+    return pricing.pricing_summary(text.parsed(text.as_text(df)))
+
+
+def _bit_helpers(df: DataFrame) -> DataFrame:
+    """Whole quantities as bits of a word: one bit set, one cleared, three read, three written."""
+    q, d, t = (measures.hundredths(c, df.schema[c].dataType) for c in ("l_quantity", "l_discount", "l_tax"))
+    w = df.select((q / 100).cast("bigint").alias("word"), d.cast("int").alias("bit"), t.alias("value"))
+    bits = {
+        "with_bit": encodings.set_bit(F.col("word"), F.col("bit")), "without_bit": encodings.clear_bit(F.col("word"), F.col("bit")),
+        "bit_range": encodings.get_bit_range(F.col("word"), F.col("bit"), 3), "with_range": encodings.set_bit_range(F.col("word"), F.col("bit"), 3, F.col("value")),
+    }
+    return w.groupBy("word", "bit", "value").agg(F.count(F.lit(1)).alias("n")).select("word", "bit", "value", *(x.alias(k) for k, x in bits.items()), "n")
 
 
 QUERIES: dict[str, Query] = {
@@ -117,7 +140,12 @@ QUERIES: dict[str, Query] = {
     "q1_group_domain": _on(pricing.domain_grouped),
     "q1_extant_groups": _on(lambda df: stats.extant_groups(df.filter(filters.shipped_by()))),
     "q1_int64_fixed_point": _on(_int64),
-    "q1_compressed": _on(lambda df: pricing.over_compressed(pricing.compressed(df))),
+    "q1_compressed": lambda spark, sf_dir: pricing.over_compressed(pricing.encoded(spark, sf_dir)),
+    "q1_compact_checked": lambda spark, sf_dir: pricing.compact_checked(pricing.encoded(spark, sf_dir)),
+    "q1_compressed_once": _on(lambda df: pricing.over_compressed(pricing.compressed(df))),
+    "q1_compressed_bitmap_split": _combined,
+    "q1_text_ingest": _on(_text),
+    "q1_bit_helpers": _on(_bit_helpers),
     "q1_overflow_checked": _on(_checked),
     "q1_overflow_flag": _on(_flagged),
     "q1_conditional_sums": _on(_wide),
@@ -161,7 +189,7 @@ def _wide_sql() -> str:
 
 ORACLE: dict[str, str] = {
     **dict.fromkeys(
-        ("q1_pricing_summary", "q1_wide_decimal", "q1_group_domain", "q1_compressed", "q1_overflow_checked", "q1_conditional_rows", "q1_morsel_partials", "q1_vector_preaggregate", "q1_range_split_merge", "q1_filter_bitmap_agg"), _Q1
+        ("q1_pricing_summary", "q1_wide_decimal", "q1_group_domain", "q1_compressed", "q1_overflow_checked", "q1_compact_checked", "q1_compressed_once", "q1_compressed_bitmap_split", "q1_text_ingest", "q1_prefix_sample", "q1_conditional_rows", "q1_morsel_partials", "q1_vector_preaggregate", "q1_range_split_merge", "q1_filter_bitmap_agg"), _Q1
     ),
     "q1_scan_project": _ROWS,
     "q1_filter_shipdate": _ROWS + _W,
@@ -180,5 +208,6 @@ ORACLE: dict[str, str] = {
     "q1_overflow_flag": f"{_V} SELECT l_returnflag, l_linestatus, {_SUMS}, count(*) AS count_order, false AS overflowed FROM v{_W} GROUP BY ALL",
     "q1_conditional_sums": _wide_sql(),
     "q1_filter_bitmap_popcount": f"{_V} SELECT count(*) AS passing, CAST(0 AS BIGINT) AS negative_words FROM v{_W}",
+    "q1_bit_helpers": "WITH w AS (SELECT CAST(l_quantity AS BIGINT) AS word, CAST(round(l_discount * 100) AS INTEGER) AS bit, CAST(round(l_tax * 100) AS BIGINT) AS value FROM lineitem) SELECT word, bit, value, word | (CAST(1 AS BIGINT) << bit) AS with_bit, word & ~(CAST(1 AS BIGINT) << bit) AS without_bit, (word >> bit) & 7 AS bit_range, (word & ~(CAST(7 AS BIGINT) << bit)) | ((value & 7) << bit) AS with_range, count(*) AS n FROM w GROUP BY ALL",
     "q1_bitpack_flags": f"SELECT CAST({_FLAG} AS INTEGER) AS flag_code, count(*) AS n FROM lineitem GROUP BY ALL",
 }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlight.config import RunOptions
 from ledgerlight.functions import encodings
@@ -19,7 +19,7 @@ def pricing_summary(df: DataFrame, day: date | None = None) -> DataFrame:
     """Scan, pushed filter, bigint projection, partial and final hash aggregate. The one shuffle carries at
     most six rows a task."""
     kept = df.filter(filters.shipped_by(day))
-    return aggregates.finished(kept.groupBy(*KEYS).agg(*aggregates.fixed_point_sums(kept)))
+    return aggregates.finished(aggregates.summed(kept, KEYS, aggregates.terms(kept)))
 
 
 def wide_decimal(df: DataFrame) -> DataFrame:
@@ -37,13 +37,13 @@ def morsels(df: DataFrame, rows: int) -> DataFrame:
 
 
 def range_split(df: DataFrame, fraction: float = 0.5, batch: int = 1024) -> DataFrame:
-    parts = splits.split_at_fraction(df.filter(filters.shipped_by()), fraction, batch)
-    return aggregates.finished(splits.merged(parts))
+    both = splits.sided(df, fraction, batch).filter(filters.shipped_by())
+    return aggregates.finished(splits.merged(both, [*KEYS], aggregates.terms(df)))
 
 
 def bitmap_filtered(df: DataFrame) -> DataFrame:
     kept = filters.apply_bitmap(df, filters.filter_bitmap(df, filters.shipped_by()))
-    return aggregates.finished(kept.groupBy(*KEYS).agg(*aggregates.fixed_point_sums(kept)))
+    return aggregates.finished(aggregates.summed(kept, KEYS, aggregates.terms(df)))
 
 
 def domain_grouped(df: DataFrame) -> DataFrame:
@@ -69,18 +69,31 @@ def compressed(df: DataFrame) -> DataFrame:
         encodings.narrowed(h["l_tax"], "tinyint").alias("tax"),
         encodings.narrowed(encodings.dense_group(F.col(KEYS[0]), F.col(KEYS[1])), "tinyint").alias("g"),
         encodings.narrowed(encodings.day_offset(F.col("l_shipdate")), "smallint").alias("ship_off"),
+        *(c for c in ("row_file", "row_pos") if c in df.columns),
     )
 
 
-def over_compressed(enc: DataFrame, limit: int = 2436) -> DataFrame:
+def encoded(spark: SparkSession, sf_dir: str, *, position: bool = False) -> DataFrame:
+    """The encoded table, built once a session and kept by the executors, in memory and then on their disks; what a lost executor
+    held is built again. Later plans over the same table read it instead of the source."""
+    enc = compressed(lineitem(spark, sf_dir, position=position))
+    if enc.storageLevel == StorageLevel.NONE:
+        enc.persist(StorageLevel.MEMORY_AND_DISK)
+    return enc
+
+
+#: Fixed value: the cutoff as a day offset.
+CUTOFF_OFFSET = 2436
+
+
+def over_compressed(enc: DataFrame, limit: int = CUTOFF_OFFSET) -> DataFrame:
     """The summary over the encoded table; the limit is the cutoff as a day offset."""
-    p, d, t = F.col("price").cast("bigint"), F.col("disc").cast("bigint"), F.col("tax").cast("bigint")
-    m = aggregates.measures
-    term = {"sum_qty": (F.col("qty").cast("bigint") * 100, 2), "sum_base_price": (p, 2), "sum_disc_price": (m.disc_price(p, d, 100), 4), "sum_charge": (m.charge(p, d, t, 100), 6), "sum_disc": (d, 2)}
-    sums = [m.exact_sum(x, s, T._parse_datatype_string(aggregates.SUMS[k]).precision).alias(k) for k, (x, s) in term.items()]
-    agg = enc.filter(F.col("ship_off") <= limit).groupBy("g").agg(*sums, F.count(F.lit(1)).alias("count_order"))
-    flag, status = encodings.dense_keys(F.col("g").cast("int"))
-    return aggregates.finished(agg.withColumn(KEYS[0], flag).withColumn(KEYS[1], status))
+    sums = aggregates.summed(enc.filter(F.col("ship_off") <= limit), ["g"], aggregates.encoded_terms())
+    return aggregates.finished(aggregates.encoded_keys(sums))
+
+
+def compact_checked(enc: DataFrame, limit: int = CUTOFF_OFFSET) -> DataFrame:
+    return aggregates.finished(aggregates.compact_checked_sums(enc.filter(F.col("ship_off") <= limit)))
 
 
 PLANS = {
@@ -92,12 +105,24 @@ PLANS = {
 }
 
 
+def combined(spark: SparkSession, sf_dir: str, *, encode: bool, bitmap: bool, split: tuple[float, int] | None) -> DataFrame:
+    """Over the encoded table or the plain one, filtered by bitmap or by predicate, in two parts (fraction, batch) or in one."""
+    position = bitmap or split is not None
+    if encode:
+        df = encoded(spark, sf_dir, position=position)
+        keys, passes, terms = ["g"], F.col("ship_off") <= CUTOFF_OFFSET, aggregates.encoded_terms()
+    else:
+        df = lineitem(spark, sf_dir, position=position)
+        keys, passes, terms = [*KEYS], filters.shipped_by(), aggregates.terms(df)
+    both = splits.sided(df, *split) if split else df
+    kept = filters.apply_bitmap(both, filters.filter_bitmap(df, passes)) if bitmap else both.filter(passes)
+    out = splits.merged(kept, keys, terms) if split else aggregates.summed(kept, keys, terms)
+    return aggregates.finished(aggregates.encoded_keys(out) if encode else out)
+
+
 def planned(spark: SparkSession, o: RunOptions) -> DataFrame:
-    """The plan that the options ask for."""
-    if o.use_coprocessing:
-        return range_split(lineitem(spark, o.sf_dir, position=True), o.cpu_fraction, o.rows_per_launch)
-    if o.use_filter_pushdown:
-        return bitmap_filtered(lineitem(spark, o.sf_dir, position=True))
-    if o.apply_compression:
-        return over_compressed(compressed(lineitem(spark, o.sf_dir)))
+    """The plan that the options ask for; flags combine."""
+    if o.apply_compression or o.use_filter_pushdown or o.use_coprocessing:
+        split = (o.cpu_fraction, o.rows_per_launch) if o.use_coprocessing else None
+        return combined(spark, o.sf_dir, encode=o.apply_compression, bitmap=o.use_filter_pushdown, split=split)
     return PLANS[o.plan](lineitem(spark, o.sf_dir, position=o.plan in ("morsel_partials", "vector_preaggregate")))

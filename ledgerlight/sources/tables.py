@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.schema import Q1_COLUMNS
@@ -23,6 +23,16 @@ def lineitem(spark: SparkSession, sf_dir: str, *, position: bool = False) -> Dat
     return df
 
 
-def prefix(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows of each file by stored position; unlike limit(n), the same rows every time."""
-    return df.filter(F.col("row_pos") < n)
+#: Fixed value: rows of a whole table at scale factor 1.
+WHOLE_ROWS = 6001215
+
+
+def prefix(df: DataFrame, scale: float, whole: int = WHOLE_ROWS) -> DataFrame:
+    """If df has exactly whole rows, scale (up to 1) of them, the first by file and stored position; else all. Unlike
+    limit(n), the same rows every time. Positions restart in each file, so counts of files, a row each, tell where a file
+    begins."""
+    counts = df.groupBy("row_file").agg((F.max("row_pos") + 1).alias("n"))
+    ahead = Window.orderBy("row_file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    begins = counts.select("row_file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"), F.sum("n").over(Window.partitionBy()).alias("rows"))
+    kept = df.join(F.broadcast(begins), "row_file").filter((F.col("rows") != whole) | (F.col("begin") + F.col("row_pos") < F.floor(F.lit(whole) * F.lit(scale))))
+    return kept.drop("begin", "rows")

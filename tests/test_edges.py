@@ -105,6 +105,29 @@ def test_text(spark, tmp_path):
     assert text.cached_or_text(spark, str(src), cache).count() == 3
 
 
+def test_cache_is_not_replaced(spark, tmp_path):
+    """A path that holds something else is an error, not a missing cache."""
+    (tmp_path / "l.tbl").write_text(LINE.format(q="1", f="A", day="1998-09-02"))
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "part-0.parquet").write_text("not Parquet")
+    with pytest.raises(Exception):
+        text.cached_or_text(spark, str(tmp_path / "l.tbl"), str(tmp_path / "cache")).count()
+    assert (tmp_path / "cache" / "part-0.parquet").read_text() == "not Parquet"
+
+
+def test_bits(spark):
+    df = spark.createDataFrame([(0b101101, 2, 3, 0b1010)], "w bigint, a int, n int, v bigint")
+    w, a = F.col("w"), F.col("a")
+    got = df.select(encodings.set_bit(w, F.lit(1)), encodings.clear_bit(w, F.lit(0)), encodings.get_bit_range(w, a, F.col("n")), encodings.set_bit_range(w, a, F.col("n"), F.col("v")), encodings.set_bit(w, F.lit(63)), encodings.get_bit_range(F.lit(-1).cast("bigint"), F.lit(60), 4)).first()
+    assert tuple(got) == (0b101111, 0b101100, 0b011, 0b101001, 0b101101 - 2**63, 15)
+
+
+def test_compact_overflow(spark):
+    enc = spark.createDataFrame([(1, 100, -100, 0, 0, 0)], "qty tinyint, price int, disc tinyint, tax tinyint, g tinyint, ship_off smallint")
+    with pytest.raises(Exception, match="OVERFLOW|overflow"):
+        pricing.compact_checked(enc).collect()
+
+
 @pytest.mark.parametrize("bad", [{"day": "1998-02-31"}, {"f": "AN"}, {"q": "x"}])
 def test_bad_text(spark, tmp_path, bad):
     (tmp_path / "l.tbl").write_text(LINE.format(**{"q": "1", "f": "A", "day": "1998-09-02"} | bad))
@@ -119,13 +142,13 @@ def test_plan_pushes_and_prunes(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("bad", [{"scale_factor": 0.0001}, {"runs": 0}, {"cpu_fraction": 1.5}, {"use_filter_pushdown": True}, {"plan": "x"}])
+@pytest.mark.parametrize("bad", [{"scale_factor": 0.0001}, {"runs": 0}, {"cpu_fraction": 1.5}, {"use_filter_pushdown": True}, {"plan": "x"}, {"plan": "wide_decimal", "apply_compression": True}, {"plan": "morsel_partials", "use_coprocessing": True}])
 def test_options(bad):
     with pytest.raises(ValueError):
         RunOptions(**bad)
 
 
-@pytest.mark.parametrize("flags", [[], ["--apply-compression"], ["--apply-compression", "--use-filter-pushdown"], ["--use-coprocessing", "--cpu-fraction=0.3"], ["--plan=morsel_partials"], ["--plan=wide_decimal"], ["--plan=conditional_sums"]])
+@pytest.mark.parametrize("flags", [[], ["--apply-compression"], ["--apply-compression", "--use-filter-pushdown"], ["--use-coprocessing", "--cpu-fraction=0.3"], ["--apply-compression", "--use-coprocessing"], ["--apply-compression", "--use-filter-pushdown", "--use-coprocessing", "--tuples-per-kernel-launch=64"], ["--plan=morsel_partials"], ["--plan=wide_decimal"], ["--plan=conditional_sums"]])
 def test_cli_plans_agree(spark, flags):
     options, _ = cli.parse(["--scale-factor=0.001", *flags])
     want = sinks.result_lines(pricing.pricing_summary(lineitem(spark, options.sf_dir)))
