@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_chat_snapshots": chat.SQL,
     "op2_source_mixing": mixing.SQL,
+    "op7_substring_dedup": substrings.SQL,
 }

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from cases import frame, odd_docs, saved
+from compare import check_query
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import substrings
@@ -57,3 +58,7 @@ def test_other_lengths(spark, n):
 
 def test_empty(spark, tmp_path):
     assert run(spark, saved(spark, tmp_path, [])) == []
+
+
+def test_against_sql(spark):
+    assert len(check_query(spark, "/root/testdata/sf0.01", substrings.query, substrings.SQL)) == 1000
