@@ -176,5 +176,16 @@ def within(fingerprints_: DataFrame, queries: DataFrame, radius: int = RADIUS, m
     return pairs.withColumn("distance", distance).filter(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
 
 
+#: Every row with an id that this divides is a query of the search.
+EACH = 50
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprinted(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """fingerprinted() with n_within: for ids that EACH divides, how many distinct fingerprints of the table lie within RADIUS bits
+    of the row's, its own among them; null for other rows."""
+    out = fingerprinted(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    asks = F.coalesce(F.col("doc_id") % EACH == 0, F.lit(False))
+    asking = out.filter(asks)
+    found = within(out.select("fingerprint"), asking.select("fingerprint")).groupBy("query").agg(F.count(F.lit(1)).alias("n_within"))
+    answered = asking.join(found, F.col("fingerprint") == F.col("query")).select(*out.columns, "n_within")
+    return out.filter(~asks).withColumn("n_within", F.lit(None).cast("bigint")).unionByName(answered)

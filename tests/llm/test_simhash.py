@@ -39,7 +39,7 @@ def test_odd_rows(spark, chunk, monkeypatch):
 
 def test_documents(spark):
     path = "/root/testdata/sf0.001"
-    got = simhash.query(spark, path).collect()
+    got = simhash.query(spark, path).drop("n_within").collect()
     rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     check(got, rows, lambda r: r[0])
     long = [r for r in got if r.n_chars > 400]
@@ -76,3 +76,13 @@ def test_one_and_none(spark):
     (r,) = simhash.fingerprinted(spark, frame(spark, [(1, "abcd efgh", None, None, None)])).collect()
     assert r.near_next == 1.0 and r.n_chars == 9
     assert simhash.fingerprinted(spark, frame(spark, [])).count() == 0
+
+
+def test_search_of_the_query(spark):
+    """Each query row against all rows, by distance."""
+    got = simhash.query(spark, "/root/testdata/sf0.01").collect()
+    marks = [int(x, 16) for x in {r.fingerprint for r in got}]
+    for r in got:
+        want = sum((int(r.fingerprint, 16) ^ m).bit_count() <= simhash.RADIUS for m in marks) if r.doc_id % 50 == 0 else None
+        assert r.n_within == want
+    assert max(r.n_within or 0 for r in got) > 1
