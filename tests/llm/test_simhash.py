@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from cases import frame, odd_docs
+from cases import frame, odd_docs, saved
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import simhash
@@ -78,11 +78,20 @@ def test_one_and_none(spark):
     assert simhash.fingerprinted(spark, frame(spark, [])).count() == 0
 
 
-def test_search_of_the_query(spark):
-    """Each query row against all rows, by distance."""
-    got = simhash.query(spark, "/root/testdata/sf0.01").collect()
+def test_search_of_the_query(spark, tmp_path):
+    """Each query row against all rows, by distance; some have near ones and copies, and some rows have no id."""
+    rnd = random.Random(4)
+    base = [[f"w{rnd.randrange(10**6)}" for _ in range(400)] for _ in range(4)]
+    rows = []
+    for i in range(220):
+        w = list(base[i % 4]) if i % 3 else [f"v{rnd.randrange(10**6)}" for _ in range(50)]
+        if i % 2:
+            w[rnd.randrange(len(w))] = f"new{i}"
+        rows.append((i if i % 11 else None, " ".join(w), "en", "s", 0))
+    got = simhash.query(spark, saved(spark, tmp_path, rows)).collect()
     marks = [int(x, 16) for x in {r.fingerprint for r in got}]
+    assert len(got) == len(rows)
     for r in got:
-        want = sum((int(r.fingerprint, 16) ^ m).bit_count() <= simhash.RADIUS for m in marks) if r.doc_id % 50 == 0 else None
-        assert r.n_within == want
+        asks = r.doc_id is not None and r.doc_id % 50 == 0
+        assert r.n_within == (sum((int(r.fingerprint, 16) ^ m).bit_count() <= simhash.RADIUS for m in marks) if asks else None)
     assert max(r.n_within or 0 for r in got) > 1
