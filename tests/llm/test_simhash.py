@@ -85,7 +85,7 @@ def test_search_of_the_query(spark, tmp_path):
     rows = []
     for i in range(220):
         w = list(base[i % 4]) if i % 3 else [f"v{rnd.randrange(10**6)}" for _ in range(50)]
-        if i % 2:
+        if i // 4 % 2:
             w[rnd.randrange(len(w))] = f"new{i}"
         rows.append((i if i % 11 else None, " ".join(w), "en", "s", 0))
     got = simhash.query(spark, saved(spark, tmp_path, rows)).collect()
